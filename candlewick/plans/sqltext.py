@@ -29,7 +29,7 @@ TRADES = """SELECT event_id AS trade_id, ts, event_type AS symbol, value AS pric
 ASSETS = """SELECT CAST(s_suppkey AS VARCHAR) AS symbol, s_name AS name, round(abs(s_acctbal) * 20000, 2) AS market_cap_usd,
     round(round(abs(s_acctbal) * 20000, 2) * 5, 2) AS market_cap_brl,
     CASE WHEN s_suppkey % 3 <> 0 THEN round(abs(s_acctbal) * 30, 2) END AS daily_volume_brl,
-    CASE WHEN s_suppkey % 4 <> 0 THEN TIMESTAMP '2015-01-01' END AS listing_date, s_acctbal > 0 AS is_active,
+    CASE WHEN s_suppkey % 4 <> 0 THEN TIMESTAMP '2008-06-01' + to_days(CAST(s_suppkey % 200 * 37 AS INTEGER)) END AS listing_date, s_acctbal > 0 AS is_active,
     n_name AS exchange, r_name AS sector, 'supplier' AS source, TIMESTAMP '2024-01-01' AS last_updated
     FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 DIRTY = f"""WITH keyed AS (SELECT *, date_diff('day', TIMESTAMP '1970-01-01', ts) + CAST(symbol AS BIGINT) * 7 AS k,
@@ -44,6 +44,21 @@ GAPPY = f"""WITH b AS ({SUPPLIER}),
     days AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM b GROUP BY symbol)
     SELECT symbol, ts, open, high, low, close, volume, quote_volume FROM days LEFT JOIN b USING (symbol, ts)"""
 
+
+
+def panel(bars: str, limit: int = 60) -> str:
+    """Weekly aligned bars from a bar select; mirrors `operators.cleaning.panel`."""
+    carried = ", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in ("open", "high", "low", "close"))
+    return f"""WITH pb AS ({bars}), wk AS (SELECT symbol, date_trunc('week', pb.ts)::TIMESTAMP AS ts, arg_min(open, pb.ts) AS open,
+      max(high) AS high, min(low) AS low, arg_max(close, pb.ts) AS close, sum(volume) AS volume, sum(quote_volume) AS quote_volume
+      FROM pb GROUP BY symbol, date_trunc('week', pb.ts)),
+    grid AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 7 DAY)) AS ts FROM wk GROUP BY symbol),
+    filled AS (SELECT symbol, ts, {carried}, coalesce(volume, 0) AS volume, coalesce(quote_volume, 0) AS quote_volume
+      FROM grid LEFT JOIN wk USING (symbol, ts)
+      WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {limit} PRECEDING AND CURRENT ROW))
+    SELECT * FROM filled WHERE close IS NOT NULL"""
+
+
 W = "(PARTITION BY symbol ORDER BY ts)"
 
 

@@ -80,7 +80,8 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey").cast("string").alias("symbol"), F.col("s_name").alias("name"),
         cap.alias("market_cap_usd"), F.round(cap * 5, 2).alias("market_cap_brl"),
         F.when(F.col("s_suppkey") % 3 != 0, F.round(F.abs("s_acctbal") * 30, 2)).alias("daily_volume_brl"),
-        F.when(F.col("s_suppkey") % 4 != 0, F.lit("2015-01-01").cast("timestamp_ntz")).alias("listing_date"),
+        F.when(F.col("s_suppkey") % 4 != 0, F.date_add(
+            F.lit("2008-06-01").cast("date"), (F.col("s_suppkey") % 200 * 37).cast("int")).cast("timestamp_ntz")).alias("listing_date"),
         (F.col("s_acctbal") > 0).alias("is_active"), F.col("n_name").alias("exchange"),
         F.col("r_name").alias("sector"), F.lit("supplier").alias("source"),
         F.lit("2024-01-01").cast("timestamp_ntz").alias("last_updated"))
