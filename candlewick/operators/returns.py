@@ -116,10 +116,11 @@ def stat_summary(bars: DataFrame, rate: float = 0.02, year: float = YEAR) -> Dat
 
 
 def signed_split(bars: DataFrame) -> DataFrame:
-    """Positive and negative part of the simple return."""
+    """Positive and negative part of the simple return (0 on the other side)."""
     out = simple_returns(bars)
     r = F.col("simple_return")
-    return out.withColumns({"gain": F.when(r > 0, r), "loss": F.when(r < 0, r)})
+    return out.withColumns({"gain": F.when(r.isNotNull(), F.greatest(r, F.lit(0.0))),
+                            "loss": F.when(r.isNotNull(), F.least(r, F.lit(0.0)))})
 
 
 def rolling_price_stats(bars: DataFrame, mean_n: int = 6, std_n: int = 5) -> DataFrame:

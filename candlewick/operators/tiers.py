@@ -163,7 +163,9 @@ def allocation_weights(limited: DataFrame, rules: TierRules = RULES) -> DataFram
 
 
 def tier_table(bars: DataFrame, external: DataFrame, rules: TierRules = RULES) -> DataFrame:
-    return allocation_weights(apply_limits(classify(asset_metrics(bars, external, rules), rules), rules), rules)
+    """Metrics to weights. The classified table is one row per asset and read by several steps, so it is kept."""
+    classified = classify(asset_metrics(bars, external, rules), rules).persist()
+    return allocation_weights(apply_limits(classified, rules), rules)
 
 
 def tier_history(daily: DataFrame, keep: int = 90, window: int = 30) -> DataFrame:

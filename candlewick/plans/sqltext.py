@@ -64,7 +64,7 @@ W = "(PARTITION BY symbol ORDER BY ts)"
 
 def ctes(body: str, **named: str) -> str:
     """WITH clause from named selects followed by `body`."""
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s})" for n, s in named.items()) + "\n" + body
+    return body if not named else "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s})" for n, s in named.items()) + "\n" + body
 
 
 def frame(n: int, by: str = "symbol", order: str = "ts") -> str:
