@@ -95,13 +95,19 @@ def time_split(df: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def classify(split: DataFrame, model: str = "tree", features: tuple[str, ...] = FEATURES, depth: int | None = None, trees: int = 100,
-             seed: int = 0) -> DataFrame:
-    """Fit on the training part with entropy splits and predict the test part: (symbol, ts, close, label, predicted)."""
+             seed: int = 0, balanced: bool = False) -> DataFrame:
+    """Fit on the training part with entropy splits and predict the test part: (symbol, ts, close, label, predicted).
+
+    `balanced` weighs the rows so that both classes count the same.
+    """
     data = _vectors(split.withColumn("y", (F.col("label") == "buy").cast("double")), features)
+    share = data.filter("part = 'train'").agg(F.avg("y"))
+    weight = F.when(F.col("y") == 1, 1 - share.scalar()).otherwise(share.scalar()) if balanced else F.lit(1.0)
+    data = data.withColumn("w", weight)
     if model == "tree":
-        learner = DecisionTreeClassifier(featuresCol="features", labelCol="y", impurity="entropy", maxDepth=depth or 3, seed=seed)
+        learner = DecisionTreeClassifier(featuresCol="features", labelCol="y", weightCol="w", impurity="entropy", maxDepth=depth or 3, seed=seed)
     else:
-        learner = RandomForestClassifier(featuresCol="features", labelCol="y", impurity="entropy", maxDepth=depth or 10, numTrees=trees, seed=seed)
+        learner = RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="w", impurity="entropy", maxDepth=depth or 10, numTrees=trees, seed=seed)
     fitted = learner.fit(data.filter("part = 'train'"))
     out = fitted.transform(data.filter("part = 'test'"))
     return out.select("symbol", "ts", "close", "label", "above", F.when(F.col("prediction") == 1, "buy").otherwise("stop").alias("predicted"))

@@ -82,7 +82,7 @@ register("R6_classification_metrics", lambda spark, d: rounded(ml.classification
 register("R6_confusion_matrix", lambda spark, d: ml.confusion(baseline(spark, d)), ctes(
     "SELECT label, p AS predicted, count(*) AS rows FROM pd GROUP BY label, p", bars=SUPPLIER, **PD))
 register("R6_tree_metrics", lambda spark, d: rounded(ml.classification_metrics(ml.classify(split(spark, d)))))
-register("R7_replay_predictions", lambda spark, d: rounded(ml.replay(ml.classify(split(spark, d), "forest", trees=20))))
+register("R7_replay_predictions", lambda spark, d: rounded(ml.replay(ml.classify(split(spark, d), "forest", trees=20, balanced=True))))
 register("R7_replay_baseline", lambda spark, d: rounded(ml.replay(baseline(spark, d), "above")), ctes(
     """SELECT symbol, count(*) AS trades, round(avg((gain > 0)::INT) + 1e-9, 6) AS hit_rate, round(avg(gain) + 1e-9, 6) AS payoff, round(sum(gain) + 1e-9, 6) AS total,
     CAST(sum(date_diff('day', ets, ts)) AS BIGINT) AS exposure_days FROM (SELECT symbol, ts, ets, tn, pt, close - ep AS gain FROM (
