@@ -24,6 +24,12 @@ def to_block_pairs(rows: DataFrame, blocks: int) -> DataFrame:
     return keyed.withColumns({"_bi": F.least("_b", "_o"), "_bj": F.greatest("_b", "_o")}).drop("_o")
 
 
+def spread(keyed: DataFrame, blocks: int, *keys: str) -> DataFrame:
+    """A set number of tasks for block-pair work: its cost grows with the square of the rows, so sizing by bytes would
+    fold it into too few."""
+    return keyed.repartition(4 * blocks * (blocks + 1), *keys)
+
+
 def _dense(frame: pd.DataFrame, times: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     frame = frame.sort_values("symbol")
     names, values, mask = [], np.zeros((len(times), len(frame))), np.zeros((len(times), len(frame)))
@@ -39,7 +45,7 @@ def _moments(frame: pd.DataFrame) -> pd.DataFrame:
     bi, bj = frame["_bi"].iat[0], frame["_bj"].iat[0]
     left, right = frame[frame["_b"] == bi], frame[frame["_b"] == bj]
     if left.empty or right.empty:
-        return pd.DataFrame({c: [] for c in ("asset_i", "asset_j", *MOMENTS)})
+        return pd.DataFrame()
     times = np.unique(np.concatenate([np.asarray(t) for t in frame["t"]]))
     ni, x, mx = _dense(left, times)
     nj, y, my = _dense(right, times)
@@ -63,7 +69,7 @@ def pair_moments(series: DataFrame, value: str, blocks: int = 4, chunk_days: int
               .select("symbol", t.alias("t"), F.col(value).alias("v"))
               .groupBy("symbol", F.floor(F.col("t") / (chunk_days * 86_400_000_000)).alias("_chunk"))
               .agg(F.collect_list("t").alias("t"), F.collect_list("v").alias("v")))
-    partial = to_block_pairs(packed, blocks).groupBy("_bi", "_bj", "_chunk").applyInPandas(_moments, PAIR_SCHEMA)
+    partial = spread(to_block_pairs(packed, blocks), blocks, "_bi", "_bj", "_chunk").groupBy("_bi", "_bj", "_chunk").applyInPandas(_moments, PAIR_SCHEMA)
     return partial.groupBy("asset_i", "asset_j").agg(*[F.sum(m).alias(m) for m in MOMENTS])
 
 

@@ -104,6 +104,8 @@ def resample(bars: DataFrame, unit: str = "day") -> DataFrame:
         F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.sum("quote_volume").alias("quote_volume"))
     ends = got.groupBy("symbol").agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
     grid = ends.select("symbol", F.explode(F.expr(f"sequence(a, b, interval 1 {unit})")).alias("bin"))
+    # one row per symbol unfolds to a calendar, so partitions are sized again after it, not on the folded rows
+    grid = grid.repartition("symbol", "bin")
     zero = {"volume": 0.0, "quote_volume": 0.0}
     return grid.join(got, ["symbol", "bin"], "left").fillna(zero).withColumnRenamed("bin", "ts")
 

@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewick.functions.guards import clip, div
 from candlewick.functions.windows import over
@@ -47,14 +48,14 @@ def volatility_scale(ratio: Column, low: float = 0.5, high: float = 2.0) -> Colu
 def expanding_median(df: DataFrame, value: str, out: str) -> DataFrame:
     """Median of the values so far. A framed exact percentile re-sorts at every row, so the ordered scan runs in pandas
     per series; the input is on a calendar grain, which bounds a series."""
-    schema = f"symbol string, ts timestamp_ntz, {out} double"
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
     def scan(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ts")
-        return pd.DataFrame({"symbol": frame["symbol"], "ts": frame["ts"], out: frame[value].expanding().median()})
+        frame[out] = frame[value].expanding().median()
+        return frame
 
-    medians = df.select("symbol", "ts", value).groupBy("symbol").applyInPandas(scan, schema)
-    return df.join(medians, ["symbol", "ts"])
+    return df.groupBy("symbol").applyInPandas(scan, schema)
 
 
 def volatility_signal(bars: DataFrame, n: int = 30) -> DataFrame:

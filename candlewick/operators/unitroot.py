@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.functions.blocks import to_block_pairs
+from candlewick.functions.blocks import spread, to_block_pairs
 
 # fixed values: MacKinnon (1994) response surface, constant case, for 1 and 2 series:
 # turning point, bounds, lower-branch and upper-branch polynomial
@@ -138,9 +138,10 @@ def pair_tests(bars: DataFrame, ordered: bool = False, min_rows: int = 90, block
                     r = through_origin(w, u) if residual else (math.nan,) * 3
                     c = engle_granger(u, w) if coint else (math.nan,) * 2
                     rows.append((n1, n2, len(u), *r, *c))
-        return pd.DataFrame(rows, columns=["asset_i", "asset_j", "n", "beta", "resid_stat", "resid_p", "coint_stat", "coint_p"])
+        names = ["asset_i", "asset_j", "n", "beta", "resid_stat", "resid_p", "coint_stat", "coint_p"]
+        return pd.DataFrame(rows, columns=names) if rows else pd.DataFrame()
 
-    return to_block_pairs(packed(bars), blocks).groupBy("_bi", "_bj").applyInPandas(run, PAIR_OUT)
+    return spread(to_block_pairs(packed(bars), blocks), blocks, "_bi", "_bj").groupBy("_bi", "_bj").applyInPandas(run, PAIR_OUT)
 
 
 def coint_scan(bars: DataFrame, level: float = 0.05, min_rows: int = 90, blocks: int = 4) -> DataFrame:

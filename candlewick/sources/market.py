@@ -107,5 +107,5 @@ def gappy_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = supplier_bars(spark, sf_dir)
     days = bars.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(
         "symbol", F.explode(F.expr("sequence(to_date(a), to_date(b), interval 1 day)")).alias("d")).select(
-        "symbol", F.col("d").cast("timestamp_ntz").alias("ts"))
+        "symbol", F.col("d").cast("timestamp_ntz").alias("ts")).repartition("symbol", "ts")  # sized after the calendar is unfolded
     return days.join(bars, ["symbol", "ts"], "left")
