@@ -133,9 +133,9 @@ def _upsert(spark, d):
 register("A13_upsert_assets", _upsert, ctes(
     """SELECT symbol, CASE WHEN CAST(symbol AS BIGINT) % 4 = 0 THEN market_cap_usd + 1 ELSE market_cap_usd END AS market_cap_usd,
     CASE WHEN CAST(symbol AS BIGINT) % 2 = 0 THEN TIMESTAMP '2024-02-01' ELSE last_updated END AS last_updated, CAST(symbol AS BIGINT) % 4 = 0 AS changed FROM a""", a=ASSETS))
-register("A14_scan_assets", lambda spark, d: pl.scan_assets(assets(spark, d), supplier_bars(spark, d).filter("volume > 150").select("symbol")).select(
+register("A14_scan_assets", lambda spark, d: pl.scan_assets(assets(spark, d), supplier_bars(spark, d).filter("volume > 100").select("symbol")).select(
     "symbol", "name", "market_cap_usd", "sector"), ctes(
-    "SELECT symbol, name, market_cap_usd, sector FROM a WHERE symbol IN (SELECT symbol FROM bars WHERE volume > 150)", a=ASSETS, bars=SUPPLIER))
+    "SELECT symbol, name, market_cap_usd, sector FROM a WHERE symbol IN (SELECT symbol FROM bars WHERE volume > 100)", a=ASSETS, bars=SUPPLIER))
 register("A15_asset_stats", lambda spark, d: rounded(pl.asset_stats(assets(spark, d)), 2), ctes(
     f"""SELECT count(*) AS assets, count_if(is_active) AS active, count(DISTINCT exchange) AS exchanges, count(DISTINCT sector) AS sectors,
     {tidy('avg(market_cap_usd)', 2)} AS avg_market_cap FROM a""", a=ASSETS))
