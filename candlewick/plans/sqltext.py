@@ -92,7 +92,7 @@ def flag(cond: str) -> str:
 
 def tidy(x: str, digits: int = 6) -> str:
     """Presentation rounding with the tie-moving nudge."""
-    return f"round(({x}) + {10.0 ** -(digits + 3)!r}, {digits})"
+    return f"round(CAST({x} AS DOUBLE) + {10.0 ** -(digits + 3)!r}, {digits})"
 
 
 def rnd(columns: str, digits: int = 6) -> str:
