@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import simhash
+from candlewick.llm import decontaminate, packing, simhash
 from candlewick.llm.shared import table
 
+#: Where the dealt tokenizer files are; any other place may be given.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 1024 tokens, and the sequence and offset of each."""
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
+
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, links at 2 or fewer differing bits."""
@@ -15,8 +29,23 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def digest(names: str) -> Column:
+    """SHA-256 of a list of texts, comma-joined."""
+    return F.sha2(F.array_join(names, ",").cast("binary"), 256)
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside any 10-word window of a benchmark item, and the items met."""
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["n_words"])
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest("items").alias("items_sha256"),
+                      (hit > 0).alias("contaminated"))
+
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
