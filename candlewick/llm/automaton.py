@@ -7,6 +7,7 @@ Patterns are a small part of the usual notation: literals, `\\xHH` and `\\` befo
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -167,6 +168,12 @@ class Automaton:
     def width(self) -> int:
         return self.table.shape[1]
 
+    @cached_property
+    def dead(self) -> int:
+        """The state that is never left and accepts nothing, times the number of classes; -1 if there is none."""
+        stuck = (self.table == np.arange(len(self.table))[:, None] * self.width).all(1) & (self.accepts == 0)
+        return int(np.flatnonzero(stuck)[0]) * self.width if stuck.any() else -1
+
 
 def _minimal(table: np.ndarray, accepts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge states that no input tells apart, by refining the split into equal accepts until it stands."""
@@ -262,6 +269,8 @@ def begin(data: bytes, end: int, least: int, backward: Automaton) -> int:
     table, state, found = backward.table.ravel(), 0, -1
     for at in range(end - 1, least - 1, -1):
         state = int(table[state + int(backward.classes[data[at]])])
+        if state == backward.dead:
+            break
         if state >= backward.hot:
             found = at
     return found

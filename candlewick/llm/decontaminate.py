@@ -87,6 +87,14 @@ def blocks(items: list[tuple[str, bytes]], most: int) -> list[list[tuple[str, by
     return out
 
 
+def _sent(benchmark: DataFrame, item_id: str, item_texts: tuple[str, ...], most_bytes: int) -> list:
+    """The items as broadcast blocks."""
+    named = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("name"),
+                             F.explode(F.array(*[F.col(c) for c in item_texts])).alias("text")).dropna().distinct()
+    parts = blocks(sorted((r["name"], r["text"].encode()) for r in named.toLocalIterator()), most_bytes)
+    return [benchmark.sparkSession.sparkContext.broadcast(tuple(part)) for part in parts]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text",
                   item_id: str = "item_id", item_texts: tuple[str, ...] = ("text",), most_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_words, items met (as text, sorted), spans of hit words in code points of the original text.
@@ -96,12 +104,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     spans of different blocks may overlap. Null texts have no words; null item ids are kept as the name "null"; repeated
     rows of docs give repeated rows.
     """
-    named = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("name"),
-                             F.explode(F.array(*[F.col(c) for c in item_texts])).alias("text")).dropna().distinct()
-    parts = blocks(sorted((r["name"], r["text"].encode()) for r in named.toLocalIterator()), most_bytes)
+    sent = _sent(benchmark, item_id, item_texts, most_bytes)
     docs = narrow(docs, doc_id=id_col, text=text_col)
     schema = SCHEMA.format(docs.schema["doc_id"].dataType.simpleString())
-    sent = [docs.sparkSession.sparkContext.broadcast(tuple(part)) for part in parts]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -123,3 +128,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
                 ["doc_id", "n_words", "items", "spans"])
 
     return docs.mapInArrow(work, schema)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_id: str = "item_id",
+                   item_texts: tuple[str, ...] = ("text",), most_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs without any window of the benchmark, every column as it was; null and empty texts stay."""
+    sent = _sent(benchmark, item_id, item_texts, most_bytes)
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            texts = utf8(batch.column(at))
+            clean = np.ones(len(texts), bool)
+            for part in sent:
+                automaton = _automaton(part.value, width)
+                clean &= [not scan(text, automaton)[1] for text in texts]
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(work, docs.schema)

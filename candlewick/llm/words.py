@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: All of ASCII but letters and digits.
+MARKS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 #: Bits of the first k bytes of a little-endian word.
@@ -29,7 +31,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """Texts of one batch. starts, ends: byte bounds of each word in data; first: index of each text's first word, and the total."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, blank: np.ndarray = BLANK):
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         _, offsets, data = texts.buffers()
         bounds = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
@@ -40,7 +42,7 @@ class Words:
         if lower:
             self.data = LOWER[self.data]
         self.bounds = bounds - bounds[0]
-        solid = ~BLANK[self.data[:size]]
+        solid = ~blank[self.data[:size]]
         begins, finishes = solid.copy(), solid.copy()
         begins[1:] &= ~solid[:-1]
         finishes[:-1] &= ~solid[1:]
@@ -65,6 +67,11 @@ class Words:
             longer = longer[size[longer] > at]
         return out
 
+    def prefixes(self, n: int) -> np.ndarray:
+        """The first n bytes of each word, 8 at most, as a number."""
+        lanes = np.ndarray((max(1, len(self.data) - 7),), "<u8", self.data, strides=(1,))
+        return lanes[self.starts] & KEEP[np.minimum(self.ends - self.starts, n)] if len(self.starts) else np.zeros(0, U)
+
     def owners(self) -> np.ndarray:
         """The text that each word is in."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
