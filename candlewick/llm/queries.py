@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import decontaminate, packing, simhash
-from candlewick.llm.shared import table
+from candlewick.llm import decontaminate, linear, packing, quality, secrets, simhash, substrings, toxicity, urls, warc
+from candlewick.llm.shared import learning_fold, table
 
 #: Where the dealt tokenizer files are; any other place may be given.
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,10 +42,69 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                       (hit > 0).alias("contaminated"))
 
 
-QUERIES = {
-    "op1_best_fit_packing": op1_best_fit_packing,
-    "op4_simhash_near_dedup": op4_simhash_near_dedup,
-    "op9_benchmark_decontamination": op9_benchmark_decontamination,
-}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written and read back."""
+    pages = table(spark, sf_dir, "pages")
+    read = warc.round_trip(pages)
+    number = lambda c: F.nullif(F.substring(c, len("urn:page:") + 1, 1 << 20), F.lit("")).cast(pages.schema["page_id"].dataType)
+    own = F.col("record_type") == "response"
+    return read.select(number("record_id").alias("page_id"),
+                       F.when(own, F.octet_length("payload")).otherwise(F.col("full_bytes")).cast("long").alias("payload_bytes"),
+                       F.when(own, F.sha2("payload", 256)).otherwise(F.substring_index("digest", ":", -1)).alias("payload_digest"),
+                       "record_type", number("refers_to").alias("refers_to"))
+
+
+def probabilities(scored: DataFrame, folds: int, held: int) -> DataFrame:
+    return scored.select("doc_id", (~learning_fold("doc_id", folds, held)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a classifier of hashed word runs; rows with remainder 1 of 3 are not learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = linear.fitted(docs, table(spark, sf_dir, "labels"), "quality", folds=3, held=1)
+    return probabilities(linear.scored(docs, weights), 3, 1)
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and places of the base kinds, and places of all kinds."""
+    found = secrets.spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.listed(kinds=secrets.BASE).cast("binary"), 256).alias("base_sha256"),
+                        secrets.listed().alias("spans"))
+
+
+#: The stated rules. Fixed values.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url: the stated rules, else combinations mined from the urls that they decide."""
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of every document, the base decision, and the posterior's."""
+    out = quality.judged(table(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+                      (~failed & (F.col("good") >= 0.5)).alias("kept"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 20-word windows that start earlier too."""
+    out = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows with remainder 0 of 5 are not learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    return probabilities(linear.scored(docs, weights, toxicity.SETTINGS), 5, 0)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_warc, op3_quality_classifier, op4_simhash_near_dedup, op5_secret_scans, op6_url_filters, op7_quality_rules,
+    op8_substring_dedup, op9_benchmark_decontamination, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}

@@ -87,8 +87,8 @@ def label_model(cast: np.ndarray, prior: float, rounds: int = 30) -> np.ndarray:
     return post[back.ravel()]
 
 
-#: Word runs only; looks play no part.
-SETTINGS = linear.Settings(alpha=0.1, l1=1.0, looks=0, grams=2, stems=(5, 7), passes=6)
+#: Words and their beginnings; looks play no part.
+SETTINGS = linear.Settings(alpha=1.0, l1=3.0, l2=0.0, looks=0, grams=1, stems=(5, 7), passes=12)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, how: linear.Settings = SETTINGS) -> np.ndarray:
