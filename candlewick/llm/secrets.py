@@ -34,12 +34,12 @@ class Rule:
 RULES = (
     Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=\x2d]",
          r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6),
-    Rule("access", r"AKIA[A-Z0-9]{16}", r"AKIA[A-Z0-9]+", 20),
+    Rule("access", r"AKIA[A-Z0-9]", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{24}", r"[0-9a-f]+", 24),
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36}", r"gh[pousr]_[A-Za-z0-9]+", 40),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9\x2d]{10}", r"xox[abprs]-[A-Za-z0-9-]+", 15),
-    Rule("maps", r"AIza[A-Za-z0-9_\x2d]{35}", r"AIza[A-Za-z0-9_-]+", 39),
-    Rule("signed", r"eyJ[A-Za-z0-9_\x2d]{8,}\.eyJ[A-Za-z0-9_\x2d]{8,}\.[A-Za-z0-9_\x2d]", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 30),
+    Rule("forge", r"gh[pousr]_[A-Za-z0-9]", r"gh[pousr]_[A-Za-z0-9]+", 40),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9\x2d]", r"xox[abprs]-[A-Za-z0-9-]+", 15),
+    Rule("maps", r"AIza[A-Za-z0-9_\x2d]", r"AIza[A-Za-z0-9_-]+", 39),
+    Rule("signed", r"eyJ[A-Za-z0-9_\x2d]+\.eyJ[A-Za-z0-9_\x2d]+\.[A-Za-z0-9_\x2d]", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
     Rule("private", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 1),
 )
 BASE = ("assign", "access", "hex")

@@ -43,7 +43,13 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(labels, words, names))
 
 
-def mined(labelled: DataFrame, support: float = 0.002, confidence: float = 0.95) -> DataFrame:
+def unruled(rules: dict[str, str]) -> Column:
+    """The tokens that no stated rule is made of: with those, combinations would only repeat the rules on urls that they don't fit."""
+    used = {f"host:{x}" for r in rules for x in r.partition("/")[0].split(".")} | {f"path:{x}" for r in rules for x in r.partition("/")[2].split("/")}
+    return F.filter("tokens", lambda t: ~t.isin(*sorted(used)))
+
+
+def mined(labelled: DataFrame, support: float = 0.01, confidence: float = 0.95) -> DataFrame:
     """(rule, token, size): an inverted index of token combinations that foretell blocking.
 
     labelled: tokens (array), bad (boolean). A combination stays if its rule has the support and the confidence and no part of it does
@@ -60,7 +66,7 @@ def mined(labelled: DataFrame, support: float = 0.002, confidence: float = 0.95)
     return stored(index.join(spare, "rule", "left_anti").select("rule", "token", "size"), "index")
 
 
-def judged(pages: DataFrame, rules: dict[str, str], support: float = 0.002, confidence: float = 0.95, id_col: str = "page_id",
+def judged(pages: DataFrame, rules: dict[str, str], support: float = 0.01, confidence: float = 0.95, id_col: str = "page_id",
            url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) of each row of pages. rules: "host/path" to "block" or "allow"; the longest that fits wins.
 
@@ -68,7 +74,7 @@ def judged(pages: DataFrame, rules: dict[str, str], support: float = 0.002, conf
     holds in it, else allowed. Null urls have no tokens and are allowed. Repeated rows and null ids are kept.
     """
     split = narrow(pages, page_id=id_col, url=url_col).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    split = split.withColumn("rule", stated(rules)).withColumn("tokens", tokens(F.col("url")))
+    split = split.withColumn("rule", stated(rules)).withColumn("tokens", tokens(F.col("url"))).withColumn("tokens", unruled(rules))
     block = [r for r, verdict in rules.items() if verdict == "block"]
     index = mined(split.filter("rule is not null").select("tokens", F.col("rule").isin(block).alias("bad")), support, confidence)
     open_ = split.filter("rule is null").select("page_id", "url", F.explode("tokens").alias("token"))
