@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import decontaminate, packing, secrets, simhash, toxicity
+from candlewick.llm import decontaminate, packing, secrets, similar, toxicity
 from candlewick.llm.queries import vocabulary
 from candlewick.llm.shared import stored, table
 
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, by shingles of five words, the document with the smallest id."""
-    return simhash.keep_one(docs, width=5)
+    """Of each group of near copies, at a similarity of 0.8 or more by shingles of five words, the document with the smallest id."""
+    return similar.keep_one_similar(docs, width=5, similarity=0.8)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
