@@ -63,31 +63,46 @@ def verified(pairs: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
     return joined.mapInArrow(work, pairs.select("a", "b").schema)
 
 
+def _crossing(open_: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
+    """(a, b) of different groups, the pairs that may be close. open_: (node, group, outside), each node once.
+
+    Two sketches that differ at no more than `apart` positions share one of the apart + 1 values that are rarest, over all of open_, in each.
+    Passages that many texts share are common values, so they bring no pairs.
+    """
+    values = [F.xxhash64(F.lit(k), F.substring("sketch", 4 * k + 1, 4)) for k in range(POSITIONS)]
+    tokens = stored(open_.join(nodes, "node").select("node", "group", "outside", F.explode(F.array(*values)).alias("token")), "minima-values")
+    common = tokens.groupBy("token").agg(F.count("*").alias("n"), (F.min("group") != F.max("group")).alias("mixed"))
+    rarest = tokens.join(common, "token").groupBy("node", "group", "outside").agg(F.sort_array(F.collect_list(F.struct("n", "token", "mixed"))).alias("by_n"))
+    held = stored(rarest.select("node", "group", "outside", F.inline(F.slice("by_n", 1, apart + 1))).filter("mixed"), "minima-rarest")
+    one = held.filter("outside").select("token", F.col("node").alias("x"), F.col("group").alias("other"))
+    pairs = held.join(one, "token").filter("group <> other and (node > x or not outside)")
+    return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
+
+
 def similar_links(nodes: DataFrame, similarity: float = 0.8, together: int = 16) -> DataFrame:
     """(a, b) edges that connect nodes whose sketches agree at a share of `similarity` of the positions or more. nodes: (node, sketch), each once.
 
-    In blocks of up to `together` nodes each pair is verified. In larger ones every node is held against one of the block; after that
-    only nodes outside the largest group found so far in a block are paired with nodes of the block's other groups, so one group of
-    copies is never squared, and no link between groups is lost.
+    In blocks of up to `together` nodes each pair is verified. In larger ones every node is held against one of the block; of those
+    that this leaves in several groups, nodes outside a block's largest group are held against the nodes of other groups with which they
+    share one of their rarest values. A group of copies is not squared, and no link between groups is lost.
     """
     apart = int(POSITIONS * (1 - similarity) + 1e-9)
     bounds = [POSITIONS * k // (apart + 1) for k in range(apart + 2)]
     keys = [F.xxhash64(F.lit(k), F.substring("sketch", 4 * lo + 1, 4 * (hi - lo))) for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))]
     keyed = stored(nodes.select("node", F.explode(F.array(*keys)).alias("key")), "minima-blocks")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("pivot")).filter("n > 1")
+    # the same few nodes are chosen in all blocks that they are in, so that most pairs of several blocks are one
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("pivot")).filter("n > 1")
     met = stored(keyed.join(sizes, "key"), "minima-met")
     few, many = met.filter(F.col("n") <= together), met.filter(F.col("n") > together)
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a > b").select("a", "b")
     pivots = many.filter("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
     near = stored(verified(pairs.union(pivots).distinct(), nodes, apart), "minima-links")
     groups = components(near).withColumnRenamed("root", "group")
-    placed = many.join(groups, "node", "left").select("key", "node", F.coalesce("group", "node").alias("group"))
+    placed = stored(many.join(groups, "node", "left").select("key", "node", F.coalesce("group", "node").alias("group")), "minima-placed")
     counts = placed.groupBy("key", "group").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
-    open_ = stored(placed.join(mixed.drop("groups"), "key"), "minima-open")
-    outside = open_.filter("group <> main").select("key", F.col("node").alias("x"), F.col("group").alias("other"))
-    crossing = open_.join(outside, "key").filter("group <> other").select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
-    return near.union(verified(crossing, nodes, apart))
+    open_ = placed.join(mixed, "key").groupBy("node").agg(F.first("group").alias("group"), F.max(F.col("group") != F.col("main")).alias("outside"))
+    return near.union(verified(_crossing(stored(open_, "minima-open"), nodes, apart), nodes, apart))
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
