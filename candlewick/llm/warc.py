@@ -130,7 +130,10 @@ def written(rows: DataFrame, folder: str, roll: int = 64 << 20) -> DataFrame:
 def records(files: DataFrame, split: int = 8 << 20) -> DataFrame:
     """The records of files (path, length), read in ranges of `split` bytes."""
     ranges = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("begin"))
-    ranges = ranges.select("path", "begin", F.least(F.col("begin") + split, "length").alias("end")).repartition("path", "begin")
+    ranges = ranges.select("path", "begin", F.least(F.col("begin") + split, "length").alias("end"))
+    # a stated number of tasks: rows of ranges are small, and run-time coalescing would read all of them in one
+    known = files.agg(F.sum(F.ceil(F.col("length") / split))).first()[0] or 1
+    ranges = ranges.repartition(int(min(known, max(4 * files.sparkSession.sparkContext.defaultParallelism, known // 16))), "path", "begin")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.string()) for n in ("record_id", "record_type", "refers_to", "digest")] + [("full_bytes", pa.int64()), ("payload", pa.binary())])
