@@ -30,6 +30,12 @@ class Rule:
     least: int
 
 
+#: What stands between the lines of a key: white space, also spelled as an escape, quotes and marks of quoted text.
+GAP = r"(?:\s|\\[nrt]|[\"'`,;>|#*])"
+#: The rest of a private key: all up to its END line if no other such line comes before, else header lines and lines of base64; the last may be short.
+BODY = (r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+        rf"|(?:{GAP}+[A-Za-z-]+:\x20[^\r\n]*)*(?:{GAP}+[A-Za-z0-9+/]{{16,}}={{0,2}})+(?:{GAP}+(?:[A-Za-z0-9+/]+=+|[A-Za-z0-9+/]+(?=\s*(?:[\r\n]|\Z))))?)?")
+
 #: The base rules, then formats of credentials as their issuers publish them. Fixed values.
 RULES = (
     Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=\x2d]",
@@ -40,7 +46,7 @@ RULES = (
     Rule("chat", r"xox[abprs]-[A-Za-z0-9\x2d]", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("maps", r"AIza[A-Za-z0-9_\x2d]", r"AIza[A-Za-z0-9_-]+", 39),
     Rule("signed", r"eyJ[A-Za-z0-9_\x2d]+\.eyJ[A-Za-z0-9_\x2d]+\.[A-Za-z0-9_\x2d]", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
-    Rule("private", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 1),
+    Rule("private", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----" + BODY, 1),
 )
 BASE = ("assign", "access", "hex")
 
