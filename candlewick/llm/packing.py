@@ -41,8 +41,13 @@ class Encoder(dict):
         others = iter(range(256, 512))
         byte_of = {chr(b if b in printable else next(others)): b for b in range(256)}
         with open(vocabulary, encoding="utf-8") as file:
-            vocab = json.load(file)["model"]["vocab"]
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and token != "<|endoftext|>"}
+            stored = json.load(file)
+        vocab = stored["model"]["vocab"]
+        if any(t[k] for t in stored["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in or ask for their surroundings are not supported")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in stored["added_tokens"]}
+        self.split = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and token not in self.added}
         self.bpe = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, chunk: str) -> bytes:
@@ -56,7 +61,12 @@ class Encoder(dict):
         return ids
 
     def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
+        """Added tokens are found first and have one id each; what is between them is encoded by itself."""
+        out, done = [], 0
+        for hit in self.split.finditer(text):
+            out += [*map(self.__getitem__, CHUNK.findall(text[done:hit.start()])), self.added[hit[0]]]
+            done = hit.end()
+        return b"".join([*out, *map(self.__getitem__, CHUNK.findall(text[done:]))])
 
 
 @lru_cache(1)
@@ -74,8 +84,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
            with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], lane): the tokens of every row's text and then end_id, cut at capacity.
 
-    Null and empty texts are one piece of end_id alone. Repeated rows give repeated pieces. Strings that name a special token
-    are ordinary text. lane numbers the rows of a task; ranks use it to split what lengths share.
+    Null and empty texts are one piece of end_id alone. Repeated rows give repeated pieces. Added tokens of the
+    vocabulary have their one id. lane numbers the rows of a task; ranks use it to split what lengths share.
     """
     docs = narrow(docs, doc_id=id_col, text=text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()

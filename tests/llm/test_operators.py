@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from candlewick.llm import automaton, components, decontaminate, linear, packing, quality, secrets, simhash, substrings, toxicity, urls, warc
 from candlewick.llm.queries import vocabulary
@@ -50,6 +51,16 @@ def test_packing(docs, none):
     assert packing.packed(none, vocabulary()).count() == 0
 
 
+def test_ids_are_those_of_tokenizers():
+    of_file = Tokenizer.from_file(vocabulary())
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x{end}\n\n  y {end}  ", f"word,{end}.", "<|endoftext| >", "a\u00a0 \u3000b\u2003\u2003 c\x1c\x1f d\x85e\t\t f \r\n\r\n g  ",
+             "\u200b \ufeff x", "don't  DON'T 's", "x" * 5000, "ab1" * 3000, "é中" * 2000, " " * 3000 + "z", "!" * 2000, "naïve, word. Ünï, 12. ", ""]
+    encode = packing.encoder(vocabulary())
+    for text in texts:
+        assert np.frombuffer(encode.text(text), "<u4").tolist() == of_file.encode(text, add_special_tokens=False).ids, text[:40]
+
+
 def test_simhash_copies_and_empty_texts(docs, none):
     rows = simhash.groups(docs).collect()
     of = {r.doc_id: (r.fp, r.component_id) for r in rows}
