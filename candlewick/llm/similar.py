@@ -1,8 +1,9 @@
 """Near copies by similarity of shingle sets, where SimHash bits alone are too coarse.
 
 At a set similarity of 0.8 about 15 % of SimHash bits differ, more than blocks can find. So the pigeonhole runs over a second fingerprint: 128
-positions, each the least of one hash over the shingles, which agree in about the share of the similarity. A pair that differs at no more
-than 25 of them leaves one of 26 blocks equal; fingerprints are joined on blocks and the distance, counted in positions, is verified.
+positions, each the least of one hash over the shingles, which agree in about the share of the similarity. That share is too rough to decide on,
+so it only finds candidates: a pair that differs at no more than 40 positions leaves one of 41 blocks equal, and a pair at a similarity of 0.8 differs
+at more with a chance of 0.0009 (binomial), at a higher one with less. Candidates are decided by the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from xxhash import xxh128_digest
+
 from candlewick.llm.components import components
 from candlewick.llm.shared import narrow, slices, stored, utf8
 from candlewick.llm.simhash import SEED, links, majority, shingle_digests
@@ -21,6 +24,8 @@ from candlewick.llm.simhash import SEED, links, majority, shingle_digests
 POSITIONS = 128
 #: One multiply-and-add hash a position.
 TIMES, PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, POSITIONS), np.uint64) | np.array([[1], [0]], np.uint64)
+#: Positions at which the sketches of a candidate pair may differ.
+LOOSE = 40
 #: Shingles that are hashed at a time.
 STEP = 1024
 
@@ -35,17 +40,20 @@ def minima(digests: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, fp, sketch): SimHash and minima of each row; null and wordless texts have zeros."""
+    """(doc_id, fp, sketch, shingles, key): SimHash, minima, the distinct shingle hashes in order and a hash of those; wordless texts have zeros."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = [np.frombuffer(b"".join(shingle_digests(x, width)), np.uint8) for x in utf8(batch.column(1))]
             fps = majority(np.concatenate(found).reshape(-1, 8), np.array([len(x) // 8 for x in found], np.int64))
-            least = pa.array([minima(x.view("<u8")) for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), least], ["doc_id", "fp", "sketch"])
+            sets = [np.unique(x.view("<u8")) for x in found]
+            least = pa.array([minima(x) for x in sets], pa.binary())
+            held = [x.tobytes() for x in sets]
+            columns = [batch.column(0), pa.array(fps), least, pa.array(held, pa.binary()), pa.array([xxh128_digest(x) for x in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sketch", "shingles", "key"])
 
     docs = narrow(docs, doc_id=id_col, text=text_col)
-    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, sketch binary")
+    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, sketch binary, shingles binary, key binary")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
@@ -63,6 +71,35 @@ def verified(pairs: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
     return joined.mapInArrow(work, pairs.select("a", "b").schema)
 
 
+def alike(one: bytes, other: bytes, similarity: float) -> bool:
+    """Whether two sets, distinct 64-bit numbers in order, have at least that share of their union in common. Empty sets are alike."""
+    a, b = np.frombuffer(one, "<u8"), np.frombuffer(other, "<u8")
+    least, most = sorted((len(a), len(b)))
+    if least < similarity * most - 1e-9:
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(both) - common) - 1e-9
+
+
+def decided(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b), each once, whose shingle sets are alike. sets: (node, shingles); a pair without sets is none."""
+    pairs = stored(pairs.distinct(), "minima-candidates")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = stored(sets.join(met, "node"), "minima-sets")
+    side = lambda name: needed.select(F.col("node").alias(name), F.col("shingles").alias(f"shingles_{name}"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(iter([whole]), "shingles_a"):
+                near = [alike(one.as_py(), other.as_py(), similarity) for one, other in zip(batch.column(2), batch.column(3), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b")
+    return joined.mapInArrow(work, pairs.schema)
+
+
 def _crossing(open_: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
     """(a, b) of different groups, the pairs that may be close. open_: (node, group, outside), each node once.
 
@@ -79,14 +116,18 @@ def _crossing(open_: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
     return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
 
 
-def similar_links(nodes: DataFrame, similarity: float = 0.8, together: int = 16) -> DataFrame:
-    """(a, b) edges that connect nodes whose sketches agree at a share of `similarity` of the positions or more. nodes: (node, sketch), each once.
+def similar_links(nodes: DataFrame, similarity: float = 0.8, together: int = 16, sets: DataFrame | None = None) -> DataFrame:
+    """(a, b) edges that connect nodes whose shingle sets have a similarity of at least `similarity`. nodes: (node, sketch), each once.
+
+    sets: (node, shingles), each once; the sketches of such a pair differ at no more than LOOSE positions but for the stated chance. Without sets
+    the edges connect nodes whose sketches agree at a share of `similarity` of the positions or more.
 
     In blocks of up to `together` nodes each pair is verified. In larger ones every node is held against one of the block; of those
     that this leaves in several groups, nodes outside a block's largest group are held against the nodes of other groups with which they
     share one of their rarest values. A group of copies is not squared, and no link between groups is lost.
     """
-    apart = int(POSITIONS * (1 - similarity) + 1e-9)
+    apart = int(POSITIONS * (1 - similarity) + 1e-9) if sets is None else LOOSE
+    close = lambda pairs: verified(pairs, nodes, apart) if sets is None else decided(verified(pairs, nodes, apart), sets, similarity)
     bounds = [POSITIONS * k // (apart + 1) for k in range(apart + 2)]
     keys = [F.xxhash64(F.lit(k), F.substring("sketch", 4 * lo + 1, 4 * (hi - lo))) for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))]
     keyed = stored(nodes.select("node", F.explode(F.array(*keys)).alias("key")), "minima-blocks")
@@ -96,33 +137,36 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8, together: int = 16)
     few, many = met.filter(F.col("n") <= together), met.filter(F.col("n") > together)
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a > b").select("a", "b")
     pivots = many.filter("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
-    near = stored(verified(pairs.union(pivots).distinct(), nodes, apart), "minima-links")
+    near = stored(close(pairs.union(pivots).distinct()), "minima-links")
     groups = components(near).withColumnRenamed("root", "group")
     placed = stored(many.join(groups, "node", "left").select("key", "node", F.coalesce("group", "node").alias("group")), "minima-placed")
     counts = placed.groupBy("key", "group").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
     open_ = placed.join(mixed, "key").groupBy("node").agg(F.first("group").alias("group"), F.max(F.col("group") != F.col("main")).alias("outside"))
-    return near.union(verified(_crossing(stored(open_, "minima-open"), nodes, apart), nodes, apart))
+    return near.union(close(_crossing(stored(open_, "minima-open"), nodes, apart)))
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay: of each group of near copies the one with the smallest id, every column as it was.
 
-    Linked are texts whose SimHash fingerprints differ in 2 bits or fewer, and texts whose sketches agree at a share of `similarity` or more.
+    Linked are texts whose SimHash fingerprints differ in 2 bits or fewer, and texts whose sets of shingles have that similarity or more.
     Null and wordless texts are one group. Rows without an id can't be named by others and stay. Of repeated rows with the smallest id
     all stay. Rows that share an id stay or go together.
     """
     prints = stored(sketches(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, width), "sketches")
-    nodes = stored(prints.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = stored(prints.groupBy("fp", "key").agg(F.min("doc_id").alias("node")), "nodes")
     first = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     equal = nodes.join(first, "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     rep = lambda name: first.select(F.col("fp").alias(name), F.col("rep").alias(f"rep_{name}"))
     close = links(first).join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    # one sketch may come with several fingerprints, where only the times that shingles are repeated differ
-    alike = nodes.groupBy("sketch").agg(F.min("node").alias("least"))
-    same = nodes.join(alike, "sketch").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    near = similar_links(alike.select(F.col("least").alias("node"), "sketch"), similarity)
+    # one set may come with several fingerprints, where only the times that shingles are repeated differ
+    least = nodes.groupBy("key").agg(F.min("node").alias("least"))
+    same = nodes.join(least, "key").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    # of a set's rows one is read; an id may name several sets
+    sets = prints.join(least.withColumnRenamed("least", "doc_id"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    sets = stored(sets.select(F.col("doc_id").alias("node"), "sketch", "shingles"), "shingle-sets")
+    near = similar_links(sets.select("node", "sketch"), similarity, sets=sets.select("node", "shingles"))
     roots = components(equal.union(close).union(same).union(near))
-    copies = prints.join(nodes, ["fp", "sketch"]).filter("doc_id <> node").select("doc_id")
+    copies = prints.join(nodes, ["fp", "key"]).filter("doc_id <> node").select("doc_id")
     drop = copies.union(roots.filter("node <> root").select("node")).distinct()
     return docs.join(drop.withColumnRenamed("doc_id", id_col), id_col, "left_anti").select(*docs.columns)

@@ -77,3 +77,19 @@ def test_links_connect_what_brute_force_connects(spark, together):
     got = {r.node: r.root for r in similar.components(similar.similar_links(nodes, together=together)).collect()}
     assert {k: got.get(k, k) for k in range(len(data))} == {k: find(k) for k in range(len(data))}
     assert len({find(k) for k in range(len(data))}) > 3
+
+
+def test_pairs_near_the_threshold(spark):
+    """Pairs of texts at similarities of 0.70 to 0.79 and of 0.80 to 0.87: the sets decide, not the estimate."""
+    rng, rows, want = np.random.default_rng(9), [], []
+    for pair, share in enumerate([0.80, 0.81, 0.82, 0.83, 0.85, 0.87] * 10 + [0.70, 0.74, 0.76, 0.78, 0.79] * 10):
+        # the one text is the other's beginning, so the similarity is the share of the shingles
+        words = [f"p{pair}w{rng.integers(1 << 30)}" for _ in range(304)]
+        texts = [" ".join(words), " ".join(words[:4 + round(300 * share)])]
+        one, other = map(shingles, texts)
+        rows += [(10 * pair, texts[0]), (10 * pair + 1, texts[1])]
+        near = len(one & other) >= LEAST * len(one | other)
+        assert near == (share >= LEAST)
+        want += [10 * pair] if near else [10 * pair, 10 * pair + 1]
+    got = [r.doc_id for r in similar.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == want
