@@ -26,7 +26,7 @@ Q = {"bars": SUPPLIER, "pr": f"""SELECT symbol, 100 * (close / nullif({lag('clos
      "q": "SELECT symbol, stddev_pop(r) AS risk, avg(r) AS mean_return, stddev_samp(r) AS sample_risk FROM pr GROUP BY symbol"}
 register("Q1_risk_return_features", lambda spark, d: rounded(points(spark, d)), ctes(f"SELECT symbol, {rnd('risk mean_return sample_risk')} FROM q", **Q))
 register("Q2_kmeans", lambda spark, d: rounded(ml.kmeans(points(spark, d), 4)))
-register("Q3_elbow", lambda spark, d: rounded(ml.elbow(points(spark, d), 8)))
+register("Q3_elbow", lambda spark, d: rounded(ml.elbow(points(spark, d), 29)))
 register("Q4_best_per_cluster", lambda spark, d: rounded(ml.best_per_cluster(ml.kmeans(points(spark, d), 4))))
 for _c in ("mean_return", "risk"):
     register(f"Q5_top_by_{_c}", lambda spark, d, c=_c: rounded(ml.top_by(points(spark, d), c)), ctes(
@@ -57,8 +57,10 @@ register("R2_feature_frame", lambda spark, d: rounded(ml.feature_frame(labelled(
     f"SELECT symbol, ts, close, label, above, {rnd('atr volume')} FROM ff", bars=SUPPLIER, **LAB))
 register("R3_time_split", lambda spark, d: split(spark, d).select("symbol", "ts", "part"), ctes(
     "SELECT symbol, ts, part FROM ts8", bars=SUPPLIER, **LAB))
+#: As many as the reference fits.
+TREES = 10_000
 register("R4_decision_tree", lambda spark, d: ml.classify(split(spark, d)))
-register("R5_random_forest", lambda spark, d: ml.classify(split(spark, d), "forest", trees=20))
+register("R5_random_forest", lambda spark, d: ml.classify(split(spark, d), "forest", trees=TREES))
 
 
 def baseline(spark, d):
@@ -82,7 +84,7 @@ register("R6_classification_metrics", lambda spark, d: rounded(ml.classification
 register("R6_confusion_matrix", lambda spark, d: ml.confusion(baseline(spark, d)), ctes(
     "SELECT label, p AS predicted, count(*) AS rows FROM pd GROUP BY label, p", bars=SUPPLIER, **PD))
 register("R6_tree_metrics", lambda spark, d: rounded(ml.classification_metrics(ml.classify(split(spark, d)))))
-register("R7_replay_predictions", lambda spark, d: rounded(ml.replay(ml.classify(split(spark, d), "forest", trees=20, balanced=True))))
+register("R7_replay_predictions", lambda spark, d: rounded(ml.replay(ml.classify(split(spark, d), "forest", trees=TREES, balanced=True))))
 register("R7_replay_baseline", lambda spark, d: rounded(ml.replay(baseline(spark, d), "above")), ctes(
     """SELECT symbol, count(*) AS trades, round(avg((gain > 0)::INT) + 1e-9, 6) AS hit_rate, round(avg(gain) + 1e-9, 6) AS payoff, round(sum(gain) + 1e-9, 6) AS total,
     CAST(sum(date_diff('day', ets, ts)) AS BIGINT) AS exposure_days FROM (SELECT symbol, ts, ets, tn, pt, close - ep AS gain FROM (

@@ -39,3 +39,15 @@ def test_query_equals_oracle(spark, sf, duck, name):
     order = [rel.columns.index(c) for c in cols]
     want = sorted((tuple(norm(r[i]) for i in order) for r in rel.fetchall()), key=key)
     assert got == want
+
+
+def test_elbow_and_forests_have_the_reference_size(spark, sf, monkeypatch):
+    from candlewick.operators import learning
+
+    ks, trees = [], []
+    monkeypatch.setattr(learning, "elbow", lambda points, largest=29: ks.append(largest) or points)
+    monkeypatch.setattr(learning, "classify", lambda data, *a, trees_=trees, **k: trees_.append(k.get("trees")) or data)
+    monkeypatch.setattr(learning, "replay", lambda data: data.select("close"))
+    for name in ("Q3_elbow", "R5_random_forest", "R7_replay_predictions"):
+        entry.queries()[name](spark, sf)
+    assert ks == [29] and trees == [10_000] * 2
