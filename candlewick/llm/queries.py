@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import decontaminate, linear, packing, quality, secrets, simhash, substrings, toxicity, urls, warc
+from candlewick.llm import decontaminate, linear, lines, merkle, packing, quality, secrets, simhash, sqltext, substrings, toxicity, urls, variants, warc
 from candlewick.llm.shared import learning_fold, table
 
 #: Where the dealt tokenizer files are; any other place may be given.
@@ -103,8 +103,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probabilities(linear.scored(docs, weights, toxicity.SETTINGS), 5, 0)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of seven letters or more that occur twice or more, with the frequent word that each is a spelling of."""
+    counts = variants.word_counts(table(spark, sf_dir, "documents"))
+    return variants.spelling_forms(counts.filter("n >= 2")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents, and the check of a copy in which n_chars of every seventh id or so is one more."""
+    docs = table(spark, sf_dir, "documents")
+    entry = lambda n_chars: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = docs.select("doc_id", "lang", entry(F.col("n_chars")).alias("leaf"), F.when(tampered, entry(F.col("n_chars") + 1)).alias("changed"))
+    proven = merkle.manifest(leaves)
+    again = merkle.folded(F.coalesce("changed", "leaf"), F.col("path"))
+    out = proven.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), again.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that three or more documents hold, but for the largest id that holds them."""
+    out = lines.without_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_warc, op3_quality_classifier, op4_simhash_near_dedup, op5_secret_scans, op6_url_filters, op7_quality_rules,
-    op8_substring_dedup, op9_benchmark_decontamination, op10_toxicity)}
+    op8_substring_dedup, op9_benchmark_decontamination, op10_toxicity, op11_spelling_variants, op12_merkle_manifest, op13_line_dedup)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(sqltext.ORACLES)
