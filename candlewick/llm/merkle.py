@@ -116,14 +116,13 @@ def manifest(leaves: DataFrame, part_col: str = "lang", id_col: str = "doc_id",
     """Every row of leaves with subroot, root and path: an array, from the leaf up, of (before, after), the digests of a run on both sides of the node.
 
     Leaves of a part are ordered by id, a null id first, and by digest where ids repeat; repeated rows are leaves of their own. Parts, null
-    first, are ordered by bytes. Runs of `fanout` nodes become their digest while several remain. Columns named part, idx, digest, path, subroot or root
-    are not allowed in leaves, all others stay. No rows give no rows.
+    first, are ordered by bytes. Runs of `fanout` nodes become their digest while several remain. All columns of leaves stay, but columns named
+    subroot, root or path give way to the results. No rows give no rows.
     """
-    taken = {"part", "idx", "digest", "path", "subroot", "root"} & set(leaves.columns)
-    if taken:
-        raise ValueError(f"columns of leaves with names of results: {sorted(taken)}")
-    rows = stored(leaves.withColumn("part", part_key(F.col(f"`{part_col}`"))).withColumn("digest", F.col(f"`{leaf_col}`")), "merkle-leaves")
-    nodes = stored(numbered(rows, id_col, "digest"), "merkle-numbered")
+    own = [F.col(f"`{c}`") for c in leaves.columns if c not in ("subroot", "root", "path")]
+    rows = stored(leaves.select(F.struct(*own).alias("row"), part_key(F.col(f"`{part_col}`")).alias("part"), F.col(f"`{id_col}`").alias("id"),
+                                F.col(f"`{leaf_col}`").alias("digest")), "merkle-leaves")
+    nodes = stored(numbered(rows, "id", "digest"), "merkle-numbered")
     rounds = _rounds(nodes.select("part", "idx", "digest"), fanout, span)
     tops = [r.filter("top").select(F.col("part").alias("name"), "digest") for r in rounds]
     subroots = tops[0]
@@ -135,7 +134,7 @@ def manifest(leaves: DataFrame, part_col: str = "lang", id_col: str = "doc_id",
     root = upper[-1].filter("top").select("part", F.col("digest").alias("root"), F.expr("cast(array() as array<struct<before: string, after: string>>)").alias("path"))
     above = _proven(named, upper, root, fanout, span).select(F.col("name").alias("part"), "path", F.col("digest").alias("subroot"), "root")
     # a row a part, read by each round
-    return _proven(nodes, rounds, stored(above, "merkle-above"), fanout, span).drop("part", "idx", "digest")
+    return _proven(nodes, rounds, stored(above, "merkle-above"), fanout, span).select("row.*", "subroot", "root", "path")
 
 
 def folded(value: Column, path: Column) -> Column:

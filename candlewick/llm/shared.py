@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -21,13 +22,42 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+_PASSING: list[list[str]] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a table on the shared storage, so that a lost executor costs no more than a read."""
+    """The rows as a table on the shared storage, so that a lost executor costs no more than a read. Inside `passing` the table goes with its end."""
     path = scratch(df.sparkSession, label)
+    if _PASSING:
+        _PASSING[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that `stored` writes inside are removed at the end; what is still read later must be stored outside."""
+    paths: list[str] = []
+    _PASSING.append(paths)
+    try:
+        yield
+    finally:
+        _PASSING.remove(paths)
+        for path in paths:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """A stored table that outlives the innermost `passing`."""
+    inner = _PASSING.pop() if _PASSING else None
+    try:
+        return stored(df, label)
+    finally:
+        if inner is not None:
+            _PASSING.append(inner)
+
+
 def learning_fold(key: str, folds: int, held: int) -> Column:
     """True for rows that may be learned from: crc32 of the id as text, modulo folds, is not the held remainder."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds != held

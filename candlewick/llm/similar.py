@@ -2,13 +2,15 @@
 
 At a set similarity of 0.8 about 15 % of SimHash bits differ, more than blocks can find. So the pigeonhole runs over a second fingerprint: 128
 positions, each the least of one hash over the shingles, which agree in about the share of the similarity. That share is too rough to decide on,
-so it only finds candidates: a pair that differs at no more than 40 positions leaves one of 41 blocks equal, and a pair at a similarity of 0.8 differs
-at more with a chance of 0.0009 (binomial), at a higher one with less. Candidates are decided by the shingle sets themselves.
+so it only finds candidates: a pair that differs at no more than `loose(similarity)` positions (40 at 0.8) leaves one of that many blocks and one equal, and a
+pair at the similarity differs at more with a chance below 0.001 (binomial), at a higher one with less. Candidates are decided by the shingle sets
+themselves, which are made again from the texts of candidates alone: tables and shuffles of all documents hold fingerprints and sketches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +20,29 @@ from pyspark.sql import functions as F
 from xxhash import xxh128_digest
 
 from candlewick.llm.components import components
-from candlewick.llm.shared import narrow, slices, stored, utf8
+from candlewick.llm.shared import kept, narrow, passing, slices, stored, utf8
 from candlewick.llm.simhash import SEED, links, majority, shingle_digests
 
 POSITIONS = 128
 #: One multiply-and-add hash a position.
 TIMES, PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, POSITIONS), np.uint64) | np.array([[1], [0]], np.uint64)
-#: Positions at which the sketches of a candidate pair may differ.
-LOOSE = 40
+#: Chance that a pair at the similarity itself is no candidate, at most.
+MISSED = 0.001
 #: Shingles that are hashed at a time.
 STEP = 1024
 
 
+def loose(similarity: float) -> int:
+    """Positions at which the sketches of a candidate pair may differ."""
+    if not 0.5 <= similarity <= 1:
+        raise ValueError("similarity is 0.5 to 1")
+    apart, left = -1, 1.0
+    while left > MISSED and apart < POSITIONS - 1:
+        apart += 1
+        left -= comb(POSITIONS, apart) * (1 - similarity) ** apart * similarity ** (POSITIONS - apart)
+    return apart
+
+
 def minima(digests: np.ndarray) -> bytes:
     """The least of each hash over the distinct shingles, 32 bits a position; zeros without shingles. digests: 64-bit numbers."""
     if not len(digests):
@@ -39,26 +52,49 @@ def minima(digests: np.ndarray) -> bytes:
     return np.min(parts, axis=0).astype("<u4").tobytes()
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, fp, sketch, shingles, key): SimHash, minima, the distinct shingle hashes in order and a hash of those; wordless texts have zeros."""
+def hashed(texts: pa.Array, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """SimHash of each text, and its distinct shingle hashes in order."""
+    found = [np.frombuffer(b"".join(shingle_digests(x, width)), np.uint8) for x in utf8(texts)]
+    flat = np.concatenate(found).reshape(-1, 8) if found else np.zeros((0, 8), np.uint8)
+    return majority(flat, np.array([len(x) // 8 for x in found], np.int64)), [np.unique(x.view("<u8")) for x in found]
+
+
+def set_key(shingles: np.ndarray) -> bytes:
+    return xxh128_digest(shingles.tobytes())
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, fp, key, size, sketch): SimHash, a hash and the number of the distinct shingles, minima; wordless texts have zeros."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            fps, sets = hashed(batch.column(1), width)
+            columns = [batch.column(0), pa.array(fps), pa.array([set_key(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()),
+                       pa.array([minima(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "key", "size", "sketch"])
+
+    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, key binary, size int, sketch binary")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the given nodes (node, key), made from the texts that bear their ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [np.frombuffer(b"".join(shingle_digests(x, width)), np.uint8) for x in utf8(batch.column(1))]
-            fps = majority(np.concatenate(found).reshape(-1, 8), np.array([len(x) // 8 for x in found], np.int64))
-            sets = [np.unique(x.view("<u8")) for x in found]
-            least = pa.array([minima(x) for x in sets], pa.binary())
-            held = [x.tobytes() for x in sets]
-            columns = [batch.column(0), pa.array(fps), least, pa.array(held, pa.binary()), pa.array([xxh128_digest(x) for x in held], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sketch", "shingles", "key"])
+            sets = hashed(batch.column(1), width)[1]
+            columns = [batch.column(0), pa.array([set_key(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "key", "shingles"])
 
-    docs = narrow(docs, doc_id=id_col, text=text_col)
-    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, sketch binary, shingles binary, key binary")
+    texts = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    made = texts.mapInArrow(work, f"node {docs.schema['doc_id'].dataType.simpleString()}, key binary, shingles binary")
+    # an id may stand for several texts, and a text may come several times
+    return made.join(nodes, ["node", "key"]).dropDuplicates(["node", "key"]).select("node", "shingles")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
-    """The pairs (a, b) whose sketches differ at no more than `apart` positions."""
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+def verified(pairs: DataFrame, nodes: DataFrame, apart: int, share: float = 0.0) -> DataFrame:
+    """The pairs (a, b) whose sketches differ at no more than `apart` positions, and of whose set sizes the smaller has that share of the other."""
+    sized = nodes if "size" in nodes.columns else nodes.withColumn("size", F.lit(1))
+    side = lambda name: sized.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("sketch").alias(f"sketch_{name}"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,7 +103,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
                 near = (one != other).sum(axis=1) <= apart
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b")
+    fits = F.least("size_a", "size_b") >= share * F.greatest("size_a", "size_b") - 1e-9
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).select("a", "b", "sketch_a", "sketch_b")
     return joined.mapInArrow(work, pairs.select("a", "b").schema)
 
 
@@ -83,11 +120,10 @@ def alike(one: bytes, other: bytes, similarity: float) -> bool:
     return common >= similarity * (len(both) - common) - 1e-9
 
 
-def decided(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b), each once, whose shingle sets are alike. sets: (node, shingles); a pair without sets is none."""
+def decided(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs (a, b), each once, whose shingle sets are alike. sets_of: from (node) to (node, shingles); a pair without sets is none."""
     pairs = stored(pairs.distinct(), "minima-candidates")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = stored(sets.join(met, "node"), "minima-sets")
+    needed = stored(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "minima-sets")
     side = lambda name: needed.select(F.col("node").alias(name), F.col("shingles").alias(f"shingles_{name}"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,21 +152,21 @@ def _crossing(open_: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
     return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
 
 
-def similar_links(nodes: DataFrame, similarity: float = 0.8, together: int = 16, sets: DataFrame | None = None) -> DataFrame:
-    """(a, b) edges that connect nodes whose shingle sets have a similarity of at least `similarity`. nodes: (node, sketch), each once.
+def similar_links(nodes: DataFrame, similarity: float = 0.8, together: int = 16, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(a, b) edges that connect nodes whose shingle sets have a similarity of at least `similarity`. nodes: (node, sketch) and perhaps size, each once.
 
-    sets: (node, shingles), each once; the sketches of such a pair differ at no more than LOOSE positions but for the stated chance. Without sets
-    the edges connect nodes whose sketches agree at a share of `similarity` of the positions or more.
+    sets_of gives (node, shingles) for a table of (node); the sketches of such a pair differ at no more than loose(similarity) positions but for the
+    stated chance. Without it the edges connect nodes whose sketches agree at a share of `similarity` of the positions or more.
 
     In blocks of up to `together` nodes each pair is verified. In larger ones every node is held against one of the block; of those
     that this leaves in several groups, nodes outside a block's largest group are held against the nodes of other groups with which they
     share one of their rarest values. A group of copies is not squared, and no link between groups is lost.
     """
-    apart = int(POSITIONS * (1 - similarity) + 1e-9) if sets is None else LOOSE
-    close = lambda pairs: verified(pairs, nodes, apart) if sets is None else decided(verified(pairs, nodes, apart), sets, similarity)
+    apart = int(POSITIONS * (1 - similarity) + 1e-9) if sets_of is None else loose(similarity)
+    close = lambda pairs: verified(pairs, nodes, apart) if sets_of is None else decided(verified(pairs, nodes, apart, similarity), sets_of, similarity)
     bounds = [POSITIONS * k // (apart + 1) for k in range(apart + 2)]
     keys = [F.xxhash64(F.lit(k), F.substring("sketch", 4 * lo + 1, 4 * (hi - lo))) for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))]
-    keyed = stored(nodes.select("node", F.explode(F.array(*keys)).alias("key")), "minima-blocks")
+    keyed = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
     # the same few nodes are chosen in all blocks that they are in, so that most pairs of several blocks are one
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("pivot")).filter("n > 1")
     met = stored(keyed.join(sizes, "key"), "minima-met")
@@ -146,14 +182,9 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8, together: int = 16,
     return near.union(close(_crossing(stored(open_, "minima-open"), nodes, apart)))
 
 
-def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs that stay: of each group of near copies the one with the smallest id, every column as it was.
-
-    Linked are texts whose SimHash fingerprints differ in 2 bits or fewer, and texts whose sets of shingles have that similarity or more.
-    Null and wordless texts are one group. Rows without an id can't be named by others and stay. Of repeated rows with the smallest id
-    all stay. Rows that share an id stay or go together.
-    """
-    prints = stored(sketches(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, width), "sketches")
+def _dropped(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id) of the rows that go. docs: (doc_id, text), no null ids."""
+    prints = stored(sketches(docs, width), "sketches")
     nodes = stored(prints.groupBy("fp", "key").agg(F.min("doc_id").alias("node")), "nodes")
     first = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     equal = nodes.join(first, "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
@@ -163,10 +194,23 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     least = nodes.groupBy("key").agg(F.min("node").alias("least"))
     same = nodes.join(least, "key").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     # of a set's rows one is read; an id may name several sets
-    sets = prints.join(least.withColumnRenamed("least", "doc_id"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
-    sets = stored(sets.select(F.col("doc_id").alias("node"), "sketch", "shingles"), "shingle-sets")
-    near = similar_links(sets.select("node", "sketch"), similarity, sets=sets.select("node", "shingles"))
+    chosen = prints.join(least.withColumnRenamed("least", "doc_id"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    chosen = stored(chosen.select(F.col("doc_id").alias("node"), "key", "size", "sketch"), "set-sketches")
+    sets_of = lambda met: shingle_sets(docs, chosen.select("node", "key").join(met, "node"), width)
+    near = similar_links(chosen.select("node", "size", "sketch"), similarity, sets_of=sets_of)
     roots = components(equal.union(close).union(same).union(near))
     copies = prints.join(nodes, ["fp", "key"]).filter("doc_id <> node").select("doc_id")
-    drop = copies.union(roots.filter("node <> root").select("node")).distinct()
+    return copies.union(roots.filter("node <> root").select("node")).distinct()
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stay: of each group of near copies the one with the smallest id, every column as it was.
+
+    Linked are texts whose SimHash fingerprints differ in 2 bits or fewer, and texts whose sets of shingles have that similarity or more.
+    Null and wordless texts are one group. Rows without an id can't be named by others and stay. Of repeated rows with the smallest id
+    all stay. Rows that share an id stay or go together.
+    """
+    with passing(docs.sparkSession):
+        named = narrow(docs.filter(F.col(id_col).isNotNull()), doc_id=id_col, text=text_col)
+        drop = kept(_dropped(named, width, similarity), "near-copies")
     return docs.join(drop.withColumnRenamed("doc_id", id_col), id_col, "left_anti").select(*docs.columns)
