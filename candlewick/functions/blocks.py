@@ -3,18 +3,30 @@
 Symbols are hashed to blocks and series are cut into time chunks. Each (block, chunk) is sent once to every block
 pair, where numpy multiplies the two small matrices; only one row per pair and chunk leaves the task, and those partial
 sums are added by an ordinary aggregate. Data moves `blocks` times instead of once per partner, and no task ever
-holds more than two blocks of one chunk, whatever share of the bars a symbol has. Raise `blocks` with the number of assets.
+holds more than two blocks of one chunk, whatever share of the bars a symbol has. The number of blocks follows the number of assets, so a
+task's matrices stay of one size. Values are centred on each symbol's mean first, so that steady series at a high level keep their digits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewick.functions.tables import stored
+
+#: Assets in a block, about.
+PER_BLOCK = 64
 MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-PAIR_SCHEMA = "asset_i string, asset_j string, " + ", ".join(f"{m} double" for m in MOMENTS)
+#: Sum of the products of both squares.
+SQUARES = "sxxyy"
+PAIR_SCHEMA = "asset_i string, asset_j string, " + ", ".join(f"{m} double" for m in (*MOMENTS, SQUARES))
+
+
+def block_count(packed: DataFrame) -> int:
+    """Blocks for the symbols of a small stored table."""
+    return max(1, -(-packed.select("symbol").distinct().count() // PER_BLOCK))
 
 
 def to_block_pairs(rows: DataFrame, blocks: int) -> DataFrame:
@@ -54,23 +66,29 @@ def _moments(frame: pd.DataFrame) -> pd.DataFrame:
     keep = (n > 0) & ((i <= j) if bi == bj else np.ones_like(n, dtype=bool))
     a, b = np.asarray(ni, dtype=object)[i[keep]], np.asarray(nj, dtype=object)[j[keep]]
     swap = a > b
-    stats = {"n": n, "sx": x.T @ my, "sy": mx.T @ y, "sxx": (x * x).T @ my, "syy": mx.T @ (y * y), "sxy": x.T @ y}
+    stats = {"n": n, "sx": x.T @ my, "sy": mx.T @ y, "sxx": (x * x).T @ my, "syy": mx.T @ (y * y), "sxy": x.T @ y, SQUARES: (x * x).T @ (y * y)}
     s = {k: v[keep] for k, v in stats.items()}
     pick = lambda p, q: np.where(swap, s[q], s[p])
     return pd.DataFrame({"asset_i": np.where(swap, b, a), "asset_j": np.where(swap, a, b), "n": s["n"],
                          "sx": pick("sx", "sy"), "sy": pick("sy", "sx"), "sxx": pick("sxx", "syy"),
-                         "syy": pick("syy", "sxx"), "sxy": s["sxy"]})
+                         "syy": pick("syy", "sxx"), "sxy": s["sxy"], SQUARES: s[SQUARES]})
+
 
+def pair_moments(series: DataFrame, value: str, blocks: int | None = None, chunk_days: int = 4096) -> DataFrame:
+    """Sums over the common dates of every pair asset_i <= asset_j of (symbol, ts, value), each value less its symbol's mean over all dates.
 
-def pair_moments(series: DataFrame, value: str, blocks: int = 4, chunk_days: int = 4096) -> DataFrame:
-    """Sums over the common dates of every pair asset_i <= asset_j of (symbol, ts, value)."""
+    Besides the MOMENTS the sums of the products of both squares, so that errors of covariances need no second pass.
+    """
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    packed = (series.filter(F.col(value).isNotNull())
-              .select("symbol", t.alias("t"), F.col(value).alias("v"))
-              .groupBy("symbol", F.floor(F.col("t") / (chunk_days * 86_400_000_000)).alias("_chunk"))
-              .agg(F.collect_list("t").alias("t"), F.collect_list("v").alias("v")))
+    # the window and the aggregate share one shuffle by symbol
+    centred = F.col(value) - F.avg(value).over(Window.partitionBy("symbol"))
+    packed = stored(series.filter(F.col(value).isNotNull())
+                    .select("symbol", t.alias("t"), centred.alias("v"))
+                    .groupBy("symbol", F.floor(F.col("t") / (chunk_days * 86_400_000_000)).alias("_chunk"))
+                    .agg(F.collect_list("t").alias("t"), F.collect_list("v").alias("v")), "packed-series")
+    blocks = blocks or block_count(packed)
     partial = spread(to_block_pairs(packed, blocks), blocks, "_bi", "_bj", "_chunk").groupBy("_bi", "_bj", "_chunk").applyInPandas(_moments, PAIR_SCHEMA)
-    return partial.groupBy("asset_i", "asset_j").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+    return partial.groupBy("asset_i", "asset_j").agg(*[F.sum(m).alias(m) for m in (*MOMENTS, SQUARES)])
 
 
 def _cov(a: str, b: str, ab: str) -> Column:

@@ -23,12 +23,12 @@ def complete_dates(series: DataFrame) -> DataFrame:
     return series.join(dates, "ts", "left_semi")
 
 
-def corr_matrix(returns: DataFrame, value: str = "ret", min_rows: int = 30, blocks: int = 4) -> DataFrame:
+def corr_matrix(returns: DataFrame, value: str = "ret", min_rows: int = 30, blocks: int | None = None) -> DataFrame:
     m = pair_moments(returns, value, blocks).filter(F.col("n") > min_rows)
     return m.select("asset_i", "asset_j", pair_corr().alias("corr"))
 
 
-def cov_matrix(returns: DataFrame, value: str = "ret", min_rows: int = 30, year: float = 252.0, blocks: int = 4) -> DataFrame:
+def cov_matrix(returns: DataFrame, value: str = "ret", min_rows: int = 30, year: float = 252.0, blocks: int | None = None) -> DataFrame:
     m = pair_moments(returns, value, blocks).filter(F.col("n") > min_rows)
     return m.select("asset_i", "asset_j", (pair_cov() * year).alias("cov"))
 
@@ -71,7 +71,7 @@ def last_complete(series: DataFrame, n: int) -> DataFrame:
     return whole.filter(F.col("ts") >= cut.scalar())
 
 
-def window_corr(returns: DataFrame, windows: tuple[int, ...] = (30, 60, 90), value: str = "ret", blocks: int = 4) -> DataFrame:
+def window_corr(returns: DataFrame, windows: tuple[int, ...] = (30, 60, 90), value: str = "ret", blocks: int | None = None) -> DataFrame:
     """Correlation matrix of the last w complete rows, one block of rows per window."""
     parts = [pair_moments(last_complete(returns, w), value, blocks).filter(F.col("asset_i") < F.col("asset_j"))
              .select(F.lit(w).alias("window"), "asset_i", "asset_j", pair_corr().alias("corr")) for w in windows]
@@ -131,7 +131,7 @@ def spread_analysis(bars: DataFrame, pairs: DataFrame, n: int = 60, entry: float
         "long_signal": flag(z < -entry), "short_signal": flag(z > entry), "exit_signal": flag(F.abs(z) < exit)}).drop("x", "y")
 
 
-def pair_corr_static(series: DataFrame, value: str = "close", blocks: int = 4) -> DataFrame:
+def pair_corr_static(series: DataFrame, value: str = "close", blocks: int | None = None) -> DataFrame:
     """Pearson correlation of every pair over its common dates."""
     return pair_moments(series, value, blocks).filter(F.col("asset_i") < F.col("asset_j")).select(
         "asset_i", "asset_j", F.col("n").cast("long").alias("n"), pair_corr().alias("corr"))

@@ -29,7 +29,7 @@ def non_stationary(bars: DataFrame, level: float = 0.1) -> DataFrame:
     return adf_table(bars, level).filter("non_stationary").select("symbol")
 
 
-def candidate_tests(bars: DataFrame, level: float = 0.1, blocks: int = 4) -> DataFrame:
+def candidate_tests(bars: DataFrame, level: float = 0.1, blocks: int | None = None) -> DataFrame:
     """Both cointegration tests for all pairs of non-stationary assets."""
     return pair_tests(bars.join(non_stationary(bars, level), "symbol", "left_semi"), blocks=blocks)
 
@@ -44,7 +44,7 @@ def common_pairs(tests: DataFrame, level: float = 0.02, fallback: int = 10) -> D
     return both.unionByName(spare)
 
 
-def rank_pairs(bars: DataFrame, pairs: DataFrame | None = None, blocks: int = 4) -> DataFrame:
+def rank_pairs(bars: DataFrame, pairs: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
     """Pairs with their price correlation, highest first."""
     corr = pair_corr_static(bars, "close", blocks)
     return (corr if pairs is None else corr.join(pairs, list(PAIR), "left_semi")).select(*PAIR, "corr").orderBy(F.desc_nulls_last("corr"), *PAIR)
@@ -105,5 +105,5 @@ def run(bars: DataFrame, pairs: DataFrame, threshold: float = 1.0) -> DataFrame:
     return pair_trades(positions(residual_zscore(bars, pairs), threshold))
 
 
-def every_pair(bars: DataFrame, blocks: int = 4) -> DataFrame:
+def every_pair(bars: DataFrame, blocks: int | None = None) -> DataFrame:
     return pair_list(bars, blocks)

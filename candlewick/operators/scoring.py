@@ -91,7 +91,7 @@ def one_factor(bars: DataFrame, name: str) -> DataFrame:
     return factors(bars, (name,)).drop("rows")
 
 
-def correlation_score(bars: DataFrame, n: int = 60, penalty: float = 0.5, common: int = 20, blocks: int = 4) -> DataFrame:
+def correlation_score(bars: DataFrame, n: int = 60, penalty: float = 0.5, common: int = 20, blocks: int | None = None) -> DataFrame:
     """1 minus the mean absolute correlation with every other asset over the newest n returns, at most `penalty` off."""
     s = over(bars)
     tail = bars.withColumns({"_r": s.change("close"), "_back": s.from_last()}).filter(F.col("_back") <= n).select(
@@ -122,7 +122,7 @@ def cycle_score(bars: DataFrame, benchmark: str | None, n: int = 30) -> DataFram
 
 
 def composite(bars: DataFrame, benchmark: str | None, weights: dict[str, float] = WEIGHTS, min_rows: int = MIN_ROWS,
-              blocks: int = 4) -> DataFrame:
+              blocks: int | None = None) -> DataFrame:
     """All factors and their weighted sum for assets with enough bars, with the percentile rank.
 
     The result is one row per asset and read several times below, so it is kept; the bars are not.

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.functions.blocks import spread, to_block_pairs
+from candlewick.functions.blocks import block_count, spread, to_block_pairs
+from candlewick.functions.tables import stored
 
 # fixed values: MacKinnon (1994) response surface, constant case, for 1 and 2 series:
 # turning point, bounds, lower-branch and upper-branch polynomial
@@ -110,11 +111,16 @@ def adf_table(bars: DataFrame, level: float = 0.1) -> DataFrame:
     return packed(bars).mapInPandas(run, "symbol string, n long, lags int, stat double, p_value double, non_stationary boolean")
 
 
+def tiles(series: DataFrame) -> int:
+    """A test costs far more than a product, so blocks are an eighth of those of pair moments."""
+    return 8 * block_count(series)
+
+
 PAIR_OUT = ("asset_i string, asset_j string, n long, beta double, resid_stat double, resid_p double, "
             "coint_stat double, coint_p double")
 
 
-def pair_tests(bars: DataFrame, ordered: bool = False, min_rows: int = 90, blocks: int = 4, residual: bool = True,
+def pair_tests(bars: DataFrame, ordered: bool = False, min_rows: int = 90, blocks: int | None = None, residual: bool = True,
                coint: bool = True) -> DataFrame:
     """Residual test of asset_j on asset_i without constant, and Engle-Granger of asset_i on asset_j, for all pairs."""
 
@@ -141,10 +147,12 @@ def pair_tests(bars: DataFrame, ordered: bool = False, min_rows: int = 90, block
         names = ["asset_i", "asset_j", "n", "beta", "resid_stat", "resid_p", "coint_stat", "coint_p"]
         return pd.DataFrame(rows, columns=names) if rows else pd.DataFrame()
 
-    return spread(to_block_pairs(packed(bars), blocks), blocks, "_bi", "_bj").groupBy("_bi", "_bj").applyInPandas(run, PAIR_OUT)
+    series = stored(packed(bars), "packed-series")
+    blocks = blocks or tiles(series)
+    return spread(to_block_pairs(series, blocks), blocks, "_bi", "_bj").groupBy("_bi", "_bj").applyInPandas(run, PAIR_OUT)
 
 
-def coint_scan(bars: DataFrame, level: float = 0.05, min_rows: int = 90, blocks: int = 4) -> DataFrame:
+def coint_scan(bars: DataFrame, level: float = 0.05, min_rows: int = 90, blocks: int | None = None) -> DataFrame:
     """Engle-Granger statistic and p-value of every ordered pair with more than `min_rows` common rows."""
     return pair_tests(bars, True, min_rows, blocks, residual=False).select(
         "asset_i", "asset_j", "n", "coint_stat", "coint_p", (F.col("coint_p") < level).alias("cointegrated"))

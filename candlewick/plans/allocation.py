@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from candlewick.functions.guards import rounded
 from candlewick.operators import dependence as dp
 from candlewick.operators import portfolio as pf
+from candlewick.operators import shrinkage as sk
 from candlewick.plans.dependence import NAT, nations
 from candlewick.plans.recommendations import WT, parts, weights_of
 from candlewick.plans.registry import register
@@ -171,3 +172,12 @@ def _series(spark, d):
 
 register("L16_portfolio_series", lambda spark, d: rounded(_series(spark, d)), ctes(
     f"SELECT ts, {tidy('p')} AS portfolio_return, {tidy('sum(p) OVER (ORDER BY ts)')} AS cumulative FROM (SELECT ts, sum(ret * weight) AS p FROM r JOIN w USING (symbol) GROUP BY ts)", **L))
+
+SHRUNK = {**NAT, "dev": "SELECT symbol, ts, ret - avg(ret) OVER (PARTITION BY symbol) AS x FROM r",
+          "sq": "SELECT a.symbol AS i, b.symbol AS j, count(*) AS n, avg(a.x * b.x) AS s, avg(a.x * a.x * b.x * b.x) AS q FROM dev a JOIN dev b ON a.ts = b.ts GROUP BY a.symbol, b.symbol",
+          "su": "SELECT max(n) AS n, count(CASE WHEN i = j THEN 1 END) AS assets, avg(CASE WHEN i = j THEN s END) AS target, sum(s * s) AS ss, sum(q) AS qq FROM sq",
+          "sh": "SELECT n, assets, target, greatest(least((qq - ss) / n, ss - assets * target * target), 0) / (ss - assets * target * target) AS intensity FROM su"}
+register("U3_shrinkage_intensity", lambda spark, d: rounded(sk.shrinkage_intensity(dp.returns_matrix(nations(spark, d)))), ctes(
+    f"SELECT n, assets, {rnd('target intensity')} FROM sh", **SHRUNK))
+register("U3_shrunk_covariance", lambda spark, d: rounded(sk.shrunk_covariance(dp.returns_matrix(nations(spark, d)))), ctes(
+    f"SELECT i AS asset_i, j AS asset_j, {tidy('((1 - intensity) * s + CASE WHEN i = j THEN intensity * target ELSE 0 END) * 252')} AS cov FROM sq, sh WHERE i <= j", **SHRUNK))
