@@ -14,7 +14,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from xxhash import xxh128_digest
@@ -152,6 +152,53 @@ def _crossing(open_: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
     return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
 
 
+#: A token with more than one in so many of all tokens is hot, so there are fewer hot tokens than this; its rows are dealt to so many groups.
+SHARE, SALTS = 256, 32
+
+
+def _tokens(sets: DataFrame) -> DataFrame:
+    """(node, group, outside, size, token): every shingle hash of every set. sets: (node, group, outside, shingles)."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(iter([whole]), "shingles"):
+                found = [np.frombuffer(x, "<i8") for x in utf8(batch.column(3))]
+                sizes = np.array([len(x) for x in found], np.int64)
+                rows = pa.array(np.repeat(np.arange(len(found)), sizes))
+                columns = [batch.column(k).take(rows) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(found))],
+                                                 ["node", "group", "outside", "size", "token"])
+
+    kind = sets.schema["node"].dataType.simpleString()
+    return sets.select("node", "group", "outside", "shingles").mapInArrow(work, f"node {kind}, group {kind}, outside boolean, size int, token long")
+
+
+def _crossing_sets(open_: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(a, b) of different groups, the pairs that may be alike, by the sets themselves. open_: (node, group, outside), each node once.
+
+    Two sets with that share of their union in common have one token in common among the rarest of each, all but that share and one more, by one order
+    of all tokens, and after the first one enough others are left. What a passage that many texts share brings is common and comes last, so
+    such texts meet only where little else is in them.
+    """
+    sets = sets_of(open_.select("node")).join(open_, "node")
+    tokens = stored(_tokens(sets), "minima-tokens")
+    common = stored(tokens.groupBy("token").agg(F.count("*").alias("n"), (F.min("group") != F.max("group")).alias("mixed")), "minima-common")
+    total = common.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > total // SHARE
+    salts = common.filter(hot).select("token", F.lit(SALTS).alias("salts"))
+    dealt = tokens.join(F.broadcast(salts), "token", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    copies = common.select("token", "n", "mixed", F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0))).alias("salt"))
+    rare = Window.partitionBy("node").orderBy("n", "token")
+    least = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
+    held = stored(dealt.join(copies, ["token", "salt"]).withColumn("at", F.row_number().over(rare)).filter(F.col("at") <= least).filter("mixed")
+                  .select("node", "group", "outside", "size", "token", "at"), "minima-rarest")
+    one = held.filter("outside").select("token", F.col("node").alias("x"), F.col("group").alias("other"), F.col("size").alias("size_x"), F.col("at").alias("at_x"))
+    # of the first token in common, only those that come after it can be in common too, and they must be enough
+    most = 1 + F.least(F.col("size") - F.col("at"), F.col("size_x") - F.col("at_x"))
+    fits = most >= similarity / (1 + similarity) * (F.col("size") + F.col("size_x")) - 1e-9
+    pairs = held.join(one, "token").filter("group <> other and (node > x or not outside)").filter(fits)
+    return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
+
+
 def similar_links(nodes: DataFrame, similarity: float = 0.8, together: int = 16, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a, b) edges that connect nodes whose shingle sets have a similarity of at least `similarity`. nodes: (node, sketch) and perhaps size, each once.
 
@@ -160,7 +207,7 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8, together: int = 16,
 
     In blocks of up to `together` nodes each pair is verified. In larger ones every node is held against one of the block; of those
     that this leaves in several groups, nodes outside a block's largest group are held against the nodes of other groups with which they
-    share one of their rarest values. A group of copies is not squared, and no link between groups is lost.
+    share one of their rarest shingles, or values without sets. A group of copies is not squared, and no link between groups is lost.
     """
     apart = int(POSITIONS * (1 - similarity) + 1e-9) if sets_of is None else loose(similarity)
     close = lambda pairs: verified(pairs, nodes, apart) if sets_of is None else decided(verified(pairs, nodes, apart, similarity), sets_of, similarity)
@@ -179,7 +226,8 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8, together: int = 16,
     counts = placed.groupBy("key", "group").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
     open_ = placed.join(mixed, "key").groupBy("node").agg(F.first("group").alias("group"), F.max(F.col("group") != F.col("main")).alias("outside"))
-    return near.union(close(_crossing(stored(open_, "minima-open"), nodes, apart)))
+    open_ = stored(open_, "minima-open")
+    return near.union(close(_crossing(open_, nodes, apart)) if sets_of is None else decided(_crossing_sets(open_, sets_of, similarity), sets_of, similarity))
 
 
 def _dropped(docs: DataFrame, width: int, similarity: float) -> DataFrame:
