@@ -123,7 +123,8 @@ def alike(one: bytes, other: bytes, similarity: float) -> bool:
 def decided(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """The pairs (a, b), each once, whose shingle sets are alike. sets_of: from (node) to (node, shingles); a pair without sets is none."""
     pairs = stored(pairs.distinct(), "minima-candidates")
-    needed = stored(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "minima-sets")
+    ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
+    needed = stored(sets_of(ends), "minima-sets")
     side = lambda name: needed.select(F.col("node").alias(name), F.col("shingles").alias(f"shingles_{name}"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
