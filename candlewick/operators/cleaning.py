@@ -110,14 +110,14 @@ def resample(bars: DataFrame, unit: str = "day") -> DataFrame:
     return grid.join(got, ["symbol", "bin"], "left").fillna(zero).withColumnRenamed("bin", "ts")
 
 
-def panel(bars: DataFrame, unit: str = "week", limit: int = 60) -> DataFrame:
-    """Aligned calendar bars: prices carried over at most `limit` empty bins, rows before the first price left out."""
+def panel(bars: DataFrame, unit: str = "week", limit: int | None = None) -> DataFrame:
+    """Aligned calendar bars: prices carried over empty bins, at most `limit` of them if given, rows without a price left out."""
     return ffill(resample(bars, unit), PRICES, limit).dropna(subset=["close"])
 
 
-def ffill(df: DataFrame, columns: tuple[str, ...], limit: int = 3) -> DataFrame:
-    """Carry the last value over at most `limit` NULL rows."""
-    w = over(df).w.rowsBetween(-limit, 0)
+def ffill(df: DataFrame, columns: tuple[str, ...], limit: int | None = 3) -> DataFrame:
+    """Carry the last value over at most `limit` NULL rows, over all if it is None."""
+    w = over(df).w.rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 

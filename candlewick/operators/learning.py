@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -14,9 +15,12 @@ from candlewick.functions.decay import ewm_mean
 from candlewick.functions.guards import div
 from candlewick.functions.windows import over
 from candlewick.operators.backtest import cross_flags, round_trips, trade_metrics
+from candlewick.operators.forest import forest
 from candlewick.operators.indicators import rsi_momentum
 
 FEATURES = ("above", "atr", "volume")
+#: Fits that share the cluster at a time.
+AT_ONCE = 4
 
 
 def risk_return_features(bars: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -42,11 +46,12 @@ def kmeans(features: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:
 
 
 def elbow(features: DataFrame, largest: int = 29, seed: int = 0) -> DataFrame:
-    """Within-cluster sum of squares per k; k = 1 from the variances, the rest from one fit each."""
+    """Within-cluster sum of squares per k; k = 1 from the variances, the rest from one fit each, a few at a time on the same points."""
     data = _vectors(features, ("risk", "mean_return")).persist()
     one = features.agg(((F.var_pop("risk") + F.var_pop("mean_return")) * F.count(F.lit(1))).alias("cost")).select(
         F.lit(1).alias("k"), "cost")
-    costs = [(k, float(KMeans(k=k, seed=seed).fit(data).summary.trainingCost)) for k in range(2, largest + 1)]
+    with ThreadPoolExecutor(AT_ONCE) as fits:
+        costs = list(fits.map(lambda k: (k, float(KMeans(k=k, seed=seed).fit(data).summary.trainingCost)), range(2, largest + 1)))
     data.unpersist()
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("cost")) for k, c in costs])
     return one.unionByName(one.select(F.explode(rows).alias("r")).select("r.*"))
@@ -96,18 +101,17 @@ def time_split(df: DataFrame, share: float = 0.8) -> DataFrame:
 
 def classify(split: DataFrame, model: str = "tree", features: tuple[str, ...] = FEATURES, depth: int | None = None, trees: int = 100,
              seed: int = 0, balanced: bool = False) -> DataFrame:
-    """Fit on the training part with entropy splits and predict the test part: (symbol, ts, close, label, predicted).
+    """Fit on the training part with entropy splits and predict the test part: (symbol, ts, close, label, above, predicted).
 
     `balanced` weighs the rows so that both classes count the same.
     """
+    if model == "forest":
+        return forest(split, features, trees, depth or 10, seed, balanced).select("symbol", "ts", "close", "label", "above", "predicted")
     data = _vectors(split.withColumn("y", (F.col("label") == "buy").cast("double")), features)
     share = data.filter("part = 'train'").agg(F.avg("y"))
     weight = F.when(F.col("y") == 1, 1 - share.scalar()).otherwise(share.scalar()) if balanced else F.lit(1.0)
     data = data.withColumn("w", weight)
-    if model == "tree":
-        learner = DecisionTreeClassifier(featuresCol="features", labelCol="y", weightCol="w", impurity="entropy", maxDepth=depth or 3, seed=seed)
-    else:
-        learner = RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="w", impurity="entropy", maxDepth=depth or 10, numTrees=trees, seed=seed)
+    learner = DecisionTreeClassifier(featuresCol="features", labelCol="y", weightCol="w", impurity="entropy", maxDepth=depth or 3, seed=seed)
     fitted = learner.fit(data.filter("part = 'train'"))
     out = fitted.transform(data.filter("part = 'test'"))
     return out.select("symbol", "ts", "close", "label", "above", F.when(F.col("prediction") == 1, "buy").otherwise("stop").alias("predicted"))

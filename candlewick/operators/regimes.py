@@ -6,15 +6,14 @@ plain aggregates, linear in the bars.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from candlewick.functions.guards import clip, div
+from candlewick.functions.orderstats import expanding_quantile
 from candlewick.functions.windows import over
 
 TREND_WINDOWS = (20, 50, 200)
@@ -45,22 +44,9 @@ def volatility_scale(ratio: Column, low: float = 0.5, high: float = 2.0) -> Colu
     return clip((ratio - low) / (high - low), 0.0, 1.0)
 
 
-def expanding_median(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Median of the values so far. A framed exact percentile re-sorts at every row, so the ordered scan runs in pandas
-    per series; the input is on a calendar grain, which bounds a series."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ts")
-        frame[out] = frame[value].expanding().median()
-        return frame
-
-    return df.groupBy("symbol").applyInPandas(scan, schema)
-
-
 def volatility_signal(bars: DataFrame, n: int = 30) -> DataFrame:
     """Rolling volatility against its median so far."""
-    out = expanding_median(_vol(bars, n), "vol", "_median")
+    out = expanding_quantile(_vol(bars, n), "vol", "_median")
     ratio = F.coalesce(div("vol", F.when(F.col("_median") > 0, F.col("_median"))), F.when(F.col("vol").isNotNull(), 1.0))
     return out.withColumn("volatility_signal", volatility_scale(ratio)).drop("vol", "_median")
 

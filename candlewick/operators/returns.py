@@ -72,6 +72,12 @@ def _at(sorted_values: Column, n: int, q: float) -> Column:
     return sorted_values[low] + part * (sorted_values[low + 1] - sorted_values[low])
 
 
+def _tail_mean(values: Column, bound: Column) -> Column:
+    """Mean of the values up to the bound."""
+    tail = F.filter(values, lambda x: x <= bound)
+    return F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(tail), F.lit(0))
+
+
 def tail_risk(bars: DataFrame, levels: tuple[float, ...] = (0.95, 0.99), n: int = 252) -> DataFrame:
     """Historical value at risk and expected shortfall; one sorted window serves every level."""
     s, out = over(bars), log_returns(bars, out="_l")
@@ -79,8 +85,7 @@ def tail_risk(bars: DataFrame, levels: tuple[float, ...] = (0.95, 0.99), n: int
     for level in levels:
         name = round(level * 100)
         out = out.withColumn(f"var_{name}", _at(F.col("_w"), n, 1 - level))
-        tail = F.filter("_w", lambda x: x <= F.col(f"var_{name}"))  # noqa: B023
-        out = out.withColumn(f"cvar_{name}", F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(tail), F.lit(0)))
+        out = out.withColumn(f"cvar_{name}", _tail_mean(F.col("_w"), F.col(f"var_{name}")))
     return out.drop("_w", "_l")
 
 
@@ -101,18 +106,22 @@ def alpha_beta(returns: DataFrame, benchmark: str, value: str = "log_return") ->
                                       F.regr_slope(value, "_b").alias("beta"))
 
 
-def stat_summary(bars: DataFrame, rate: float = 0.02, year: float = YEAR) -> DataFrame:
+def stat_summary(bars: DataFrame, rate: float = 0.02, year: float = YEAR, n_tail: int = 252) -> DataFrame:
     """One row per symbol: moments, annual figures, newest tail risk, coverage."""
-    r = tail_risk(log_returns(bars), (0.95,))
+    r = log_returns(bars)
+    # only the newest window counts, so one array a symbol is sorted, not one a bar
+    r = r.withColumn("_back", over(r).from_last())
+    newest = F.array_sort(F.collect_list(F.when(F.col("_back") <= n_tail, F.col("log_return"))))
     x, n = F.col("log_return"), F.count("log_return")
     return r.groupBy("symbol").agg(
         F.avg(x).alias("mean_return"), (F.avg(x) * year).alias("annual_return"), F.stddev_samp(x).alias("volatility"),
         (F.stddev_samp(x) * year ** 0.5).alias("annual_volatility"),
         div(F.avg(x) * year - rate, F.stddev_samp(x) * year ** 0.5).alias("sharpe"),
         adjusted_skew(F.skewness(x), n).alias("skewness"), adjusted_kurt(F.kurtosis(x), n).alias("kurtosis"),
-        F.max_by("var_95", "ts").alias("var_95"), F.max_by("cvar_95", "ts").alias("cvar_95"), F.min(x).alias("min_return"),
+        F.when(F.size(newest) == n_tail, newest).alias("_w"), F.min(x).alias("min_return"),
         n.alias("observations"), F.max(F.when(x.isNotNull(), F.col("ts"))).alias("latest"),
-        (100 * F.count_if(x.isNull()) / F.count(F.lit(1))).alias("missing_pct"))
+        (100 * F.count_if(x.isNull()) / F.count(F.lit(1))).alias("missing_pct")).withColumn("var_95", _at(F.col("_w"), n_tail, 0.05)).withColumn(
+            "cvar_95", _tail_mean(F.col("_w"), F.col("var_95"))).drop("_w")
 
 
 def signed_split(bars: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 MODULES = ("indicators", "returns", "cleaning", "quality", "dependence", "regimes", "scoring", "tiers", "signals",
            "recommendations", "allocation", "execution", "performance", "backtests", "pairtrading", "learning",
-           "reports", "files", "ingestion", "streams", "parity")
+           "reports", "files", "ingestion", "streams", "parity", "riskmodels")
 
 
 def load_all() -> None:

@@ -69,7 +69,7 @@ def _line(spark, d):
 register("L6_capital_market_line", lambda spark, d: rounded(_line(spark, d)), ctes(
     f"SELECT symbol, {rnd('mu')}, {tidy('vol * (mu - 0.2) / nullif(ret - 0.2, 0)')} AS line_risk FROM mu, pm, pv", **L))
 
-N = 2000
+N = 10_000
 RAND = {**L, "idx": "SELECT symbol, row_number() OVER (ORDER BY symbol) AS k FROM mu",
         "raw": f"SELECT id, symbol, CAST(((id + 1) * 7919 + k * 104729 + (id + 1) * k * 31) % 9973 AS DOUBLE) + 1 AS raw FROM range({N}) t(id), idx",
         "rw": "SELECT id, symbol, raw / sum(raw) OVER (PARTITION BY id) AS weight FROM raw",

@@ -28,7 +28,7 @@ register("D2_column_profile", lambda spark, d: rounded(cl.column_profile(gappy_b
         for c in COLS), bars=GAPPY))
 
 
-def universe_of(spark, d, n=60):
+def universe_of(spark, d, n=150):
     """The n largest assets by market cap, ranked from 0; the rank sees n rows only."""
     top = assets(spark, d).select("symbol", "market_cap_usd").orderBy(F.desc("market_cap_usd"), "symbol").limit(n)
     return top.agg(F.sort_array(F.collect_list(F.struct((-F.col("market_cap_usd")).alias("m"), "symbol"))).alias("l")).select(
@@ -41,7 +41,7 @@ register("D3_filter_universe", lambda spark, d: cl.filter_universe(
       WHEN rank < 60 THEN 'tier3_mid_large' WHEN rank < 100 THEN 'tier4_mid' ELSE 'tier5_smaller' END AS asset_tier
       FROM bars JOIN u USING (symbol)""", bars=SUPPLIER, assets=ASSETS,
          u="SELECT symbol, row_number() OVER (ORDER BY market_cap_usd DESC, symbol) - 1 AS rank FROM assets "
-           "ORDER BY market_cap_usd DESC, symbol LIMIT 60"))
+           "ORDER BY market_cap_usd DESC, symbol LIMIT 150"))
 
 register("D4_resample", lambda spark, d: rounded(cl.resample(supplier_bars(spark, d), "week"), 2, keep=cl.PRICES), ctes(
     """SELECT g.symbol, g.ts, open, high, low, close, round(coalesce(volume, 0), 2) AS volume,

@@ -109,8 +109,8 @@ register("T3_corr_table", _corr_table, ctes(
     "FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY a.symbol, b.symbol) JOIN "
     f"(SELECT a.symbol AS asset_i, b.symbol AS asset_j, corr(a.ret, b.ret) AS return_corr {PAIRS.format('<')}) USING (asset_i, asset_j)", **NAT))
 register("T10_top_corr_assets", lambda spark, d: rounded(dp.top_corr_assets(
-    dp.corr_matrix(dp.returns_matrix(nations(spark, d))), 10)), ctes(
+    dp.corr_matrix(dp.returns_matrix(nations(spark, d))))), ctes(
     f"""SELECT a.symbol AS asset_i, b.symbol AS asset_j, {tidy('corr(a.ret, b.ret)')} AS corr FROM r a JOIN r b ON a.ts = b.ts AND a.symbol <= b.symbol
     WHERE a.symbol IN (SELECT symbol FROM best) AND b.symbol IN (SELECT symbol FROM best) GROUP BY a.symbol, b.symbol""",
     **NAT, **CM, best="SELECT symbol FROM (SELECT asset_i AS symbol, corr FROM cm UNION ALL SELECT asset_j, corr FROM cm) GROUP BY symbol "
-                      "ORDER BY avg(abs(corr)) DESC, symbol LIMIT 10"))
+                      "ORDER BY avg(abs(corr)) DESC, symbol LIMIT 50"))

@@ -205,12 +205,12 @@ register("A22_concat_price_files", lambda spark, d: _vendor(spark, d), ctes(
 
 def _utf16(spark, d):
     path = fl.scratch(spark, "utf16")
-    segment_bars(spark, d).filter(F.col("symbol") == "BUILDING").select(F.date_format("ts", "yyyy.MM.dd HH:mm").alias("d"), "close").coalesce(1).write.option(
+    segment_bars(spark, d).select("symbol", F.date_format("ts", "yyyy.MM.dd HH:mm").alias("d"), "close").repartition("symbol").write.partitionBy("symbol").option(
         "encoding", "UTF-16").option("sep", "\t").csv(path)
     return fl.scan_utf16_tsv(spark, path)
 
 
-register("A23_scan_utf16_tsv", _utf16, ctes("SELECT ts, close AS price FROM bars WHERE symbol = 'BUILDING'", bars=SEGMENT))
+register("A23_scan_utf16_tsv", _utf16, ctes("SELECT symbol, ts, close AS price FROM bars", bars=SEGMENT))
 
 
 def _run_stats(spark, d):

@@ -46,7 +46,7 @@ GAPPY = f"""WITH b AS ({SUPPLIER}),
 
 
 
-def panel(bars: str, limit: int = 60) -> str:
+def panel(bars: str) -> str:
     """Weekly aligned bars from a bar select; mirrors `operators.cleaning.panel`."""
     carried = ", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in ("open", "high", "low", "close"))
     return f"""WITH pb AS ({bars}), wk AS (SELECT symbol, date_trunc('week', pb.ts)::TIMESTAMP AS ts, arg_min(open, pb.ts) AS open,
@@ -55,7 +55,7 @@ def panel(bars: str, limit: int = 60) -> str:
     grid AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 7 DAY)) AS ts FROM wk GROUP BY symbol),
     filled AS (SELECT symbol, ts, {carried}, coalesce(volume, 0) AS volume, coalesce(quote_volume, 0) AS quote_volume
       FROM grid LEFT JOIN wk USING (symbol, ts)
-      WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {limit} PRECEDING AND CURRENT ROW))
+      WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
     SELECT * FROM filled WHERE close IS NOT NULL"""
 
 

@@ -122,10 +122,10 @@ def concat_price_files(spark: SparkSession, paths: list[str], date_format: str =
                       *[num(c) for c in ("open", "high", "low", "close")]).dropna(subset=["ts"])
 
 
-def scan_utf16_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """UTF-16 tab-separated export: first ten characters of column one are the date, column two the price."""
+def scan_utf16_tsv(spark: SparkSession, path: str, named: str = r"symbol=([^/]+)/") -> DataFrame:
+    """UTF-16 tab-separated exports: first ten characters of column one are the date, column two the price; the symbol is what `named` finds in the path."""
     raw = spark.read.option("encoding", "UTF-16").option("sep", "\t").option("multiLine", True).schema("d string, p string").csv(path)
-    return raw.select(F.try_to_timestamp(F.substring("d", 1, 10), F.lit("yyyy.MM.dd")).cast("timestamp_ntz").alias("ts"),
+    return raw.select(F.regexp_extract("_metadata.file_path", named, 1).alias("symbol"), F.try_to_timestamp(F.substring("d", 1, 10), F.lit("yyyy.MM.dd")).cast("timestamp_ntz").alias("ts"),
                       F.expr("try_cast(p AS double)").alias("price")).dropna(subset=["ts"])
 
 
