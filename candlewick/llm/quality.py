@@ -1,6 +1,7 @@
-"""Text rules as weak supervision: rules vote or abstain, expectation-maximisation weighs them, a posterior decides.
+"""Text rules as weak supervision: rules vote or abstain, expectation-maximisation estimates how accurate their votes are, a posterior decides.
 
-Built-in expressions throughout; each step of the estimation is one aggregate over the distinct vote patterns.
+Built-in expressions throughout; each step of the estimation is one aggregate over the distinct vote patterns. Labels are used nowhere. Every rule can
+fail alone, on a text of any length; rules that see the same fault are one rule, since they would count it twice; silence has no weight.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from candlewick.llm.shared import narrow, stored
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 GOOD, BAD, SILENT = 1, -1, 0
+#: A mark that ends a sentence, and what may follow it.
+ENDED = r"[.!?\x{2026}\x{3002}:;][\x22\x27\x{2019}\x{201D}\x{BB})\]]*[\x20\x09-\x0D]*$"
 
 
 def _repeat_words() -> Column:
@@ -24,7 +27,8 @@ def _repeat_words() -> Column:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals, n_cries, n_stops) of each row; null texts have no words.
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals, n_cries, n_lines, n_ended, n_lettered) of each row; null texts
+    have no words. n_lines counts lines with a word, n_ended those that end as sentences do, n_lettered words with a letter.
 
     A text whose 3-word windows all have different hashes has no repeat; only others are sorted and compared word by word.
     """
@@ -37,7 +41,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.length(F.regexp_replace("text", BLANKS, "")).cast("long").alias("word_chars"), without(SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"), without("!").cast("long").alias("n_cries"),
-        without(".").cast("long").alias("n_stops"),
+        F.size("lines").cast("long").alias("n_lines"), F.size(F.filter("lines", lambda x: x.rlike(ENDED))).cast("long").alias("n_ended"),
+        F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_lettered"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
     counts = [c for c in measured.columns if c not in ("words", "codes")]
     starts = F.when(F.col("n_words") >= 4, F.sequence(F.lit(0), F.col("n_words").cast("int") - 3)).otherwise(F.array().cast("array<int>"))
@@ -53,38 +58,42 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def rules() -> dict[str, Column]:
     """A vote of each rule: 1 good, -1 bad, 0 none."""
-    per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
+    per = lambda c, of: F.col(c) / F.greatest(F.col(of), F.lit(1))
     vote = lambda bad, good: F.when(bad, F.lit(BAD)).when(good, F.lit(GOOD)).otherwise(F.lit(SILENT))
-    mean = per_word("word_chars")
-    return {"length": vote(F.col("n_words") < 20, F.col("n_words") >= 100),
-            "word_size": vote((mean < 2.5) | (mean > 14), mean.between(3, 11)),
-            "symbols": vote(per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.02),
-            "lines": vote(F.col("n_dup_lines") > 3, F.col("n_dup_lines") == 0),
-            "repeats": vote(per_word("n_repeat_words") > 0.5, per_word("n_repeat_words") < 0.2),
-            "capitals": vote(F.col("n_capitals") > 0.3 * F.col("word_chars"), F.col("n_capitals") < 0.1 * F.col("word_chars")),
-            "cries": vote(per_word("n_cries") > 0.2, per_word("n_cries") < 0.05),
-            "stops": vote((F.col("n_stops") == 0) & (F.col("n_words") >= 50), per_word("n_stops") > 0.02)}
-
-
-def label_model(votes: DataFrame, names: list[str], rounds: int = 15, prior: float = 0.85) -> tuple[float, dict[str, dict[int, float]]]:
+    some, mean, marks = F.col("n_words") >= 10, per("word_chars", "n_words"), per("n_symbols", "n_words")
+    ended, lettered = per("n_ended", "n_lines"), per("n_lettered", "n_words")
+    repeated = per("n_repeat_words", "n_words")
+    return {"length": vote(F.col("n_words") < 20, F.col("n_words") >= 50),
+            "word_size": vote((mean < 3) | (mean > 12), mean.between(4, 8)),
+            "symbols": vote(marks > 0.1, some & (marks < 0.01)),
+            "repetition": vote((repeated > 0.4) | (F.col("n_dup_lines") > 0.3 * F.col("n_lines")), some & (repeated < 0.1) & (F.col("n_dup_lines") == 0)),
+            "shouting": vote((F.col("n_capitals") > 0.3 * F.col("word_chars")) | (F.col("n_cries") > 0.2 * F.col("n_words")),
+                             some & (F.col("n_capitals") < 0.15 * F.col("word_chars")) & (F.col("n_cries") < 0.1 * F.col("n_words"))),
+            "line_ends": vote(some & (ended < 0.9), some & (ended >= 0.95)),
+            "letters": vote(lettered < 0.8, some & (lettered > 0.95))}
+
+
+def label_model(votes: DataFrame, names: list[str], rounds: int = 25) -> tuple[float, dict[str, dict[int, float]]]:
     """(log odds of good, log odds that each vote of each rule adds), by expectation-maximisation over all rows.
 
-    votes: one column per rule. Only distinct patterns, 3 to the number of rules at most, are iterated on, and only a table of
-    estimates comes to the driver. An empty table leaves the prior, and votes add nothing.
+    votes: one column per rule. A rule's accuracy is that of the votes it casts; silence adds nothing. At first a text is good by as much as
+    nothing speaks against it. Only distinct patterns, 3 to the number of rules at most, are iterated on, and only a table of
+    estimates comes to the driver. An empty table leaves even odds, and votes add nothing.
     """
     patterns = stored(votes.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "patterns")
-    total = sum((F.col(c) for c in names), F.lit(0))
-    posterior = F.when(total > len(names) // 3, F.lit(0.95)).when(total > 0, F.lit(prior / 2)).otherwise(F.lit(0.05))
-    base, gain = math.log(prior / (1 - prior)), {c: dict.fromkeys((GOOD, BAD, SILENT), 0.0) for c in names}
+    against = sum((F.when(F.col(c) == BAD, 1).otherwise(0) for c in names), F.lit(0))
+    posterior = F.when(against == 0, F.lit(0.95)).when(against == 1, F.lit(0.4)).otherwise(F.lit(0.05))
+    base, gain = 0.0, {c: dict.fromkeys((GOOD, BAD), 0.0) for c in names}
     for _ in range(rounds):
         soft = patterns.withColumn("good", F.col("n") * posterior).withColumn("bad", F.col("n") * (1 - posterior))
         sums = soft.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), *[
-            F.sum(F.when(F.col(c) == v, F.col(side)).otherwise(0.0)).alias(f"{c}:{v}:{side}") for c in names for v in gain[c] for side in ("good", "bad")]).first()
+            F.sum(F.when(F.col(c) == v, F.col(side)).otherwise(0.0)).alias(f"{c}:{v}:{side}") for c in names for v in (GOOD, BAD) for side in ("good", "bad")]).first()
         if sums["good"] is None:
             break
         base = math.log((sums["good"] + 1) / (sums["bad"] + 1))
-        gain = {c: {v: math.log((sums[f"{c}:{v}:good"] + 0.5) / (sums["good"] + 1.5)) - math.log((sums[f"{c}:{v}:bad"] + 0.5) / (sums["bad"] + 1.5))
-                    for v in gain[c]} for c in names}
+        for c in names:
+            cast = {side: sums[f"{c}:{GOOD}:{side}"] + sums[f"{c}:{BAD}:{side}"] for side in ("good", "bad")}
+            gain[c] = {v: math.log((sums[f"{c}:{v}:good"] + 0.5) / (cast["good"] + 1)) - math.log((sums[f"{c}:{v}:bad"] + 0.5) / (cast["bad"] + 1)) for v in (GOOD, BAD)}
         posterior = probability(base, gain)
     return base, gain
 
@@ -93,7 +102,7 @@ def probability(base: float, gain: dict[str, dict[int, float]]) -> Column:
     """Posterior probability of good quality from the vote columns."""
     odds = F.lit(base)
     for c, added in gain.items():
-        odds = odds + F.when(F.col(c) == GOOD, added[GOOD]).when(F.col(c) == BAD, added[BAD]).otherwise(added[SILENT])
+        odds = odds + F.when(F.col(c) == GOOD, added[GOOD]).when(F.col(c) == BAD, added[BAD]).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 

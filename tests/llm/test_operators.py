@@ -179,6 +179,19 @@ def test_label_model_of_quality_tells_rules_apart(spark):
     assert gain["a"][1] - gain["a"][-1] > gain["c"][1] - gain["c"][-1] > abs(gain["d"][1] - gain["d"][-1]) and base > 0.5
 
 
+def test_quality_posterior_decides(spark):
+    """Labels are read here alone: poor texts that the stated limits let through are found, good ones stay."""
+    sf = "/root/testdata/sf0.01"
+    judged = quality.judged(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    passing = judged.filter("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
+    share = {r.quality: (r.n, r.rejected) for r in passing.groupBy("quality").agg(F.count("*").alias("n"), F.avg((F.col("good") < 0.5).cast("int")).alias("rejected")).collect()}
+    assert share[0][0] > 10 and share[0][1] > 0.5 and share[1][1] < 0.02
+    one = [(k, "This is a plain sentence about the weather in the hills. It goes on for a while, and then it ends there.\n" * 3 + f"Text {k} ends here too.") for k in range(40)]
+    one += [(100 + k, " ".join(f"w#{k}#$%{j}" for j in range(2000))) for k in range(4)]
+    out = {r.doc_id: r.good for r in quality.judged(spark.createDataFrame(one, "doc_id long, text string")).collect()}
+    assert all(out[100 + k] < 0.5 for k in range(4)) and all(out[k] >= 0.5 for k in range(40))
+
+
 def test_label_model_of_toxicity():
     rng = np.random.default_rng(4)
     truth = rng.random(2000) < 0.15
