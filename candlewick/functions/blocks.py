@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from candlewick.functions.tables import stored
 
+#: Tasks of a block-pair step, at most.
+MOST_TASKS = 4096
 #: Assets in a block, about.
-PER_BLOCK = 64
+PER_BLOCK = 128
 MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 #: Sum of the products of both squares.
 SQUARES = "sxxyy"
@@ -39,7 +41,7 @@ def to_block_pairs(rows: DataFrame, blocks: int) -> DataFrame:
 def spread(keyed: DataFrame, blocks: int, *keys: str) -> DataFrame:
     """A set number of tasks for block-pair work: its cost grows with the square of the rows, so sizing by bytes would
     fold it into too few."""
-    return keyed.repartition(4 * blocks * (blocks + 1), *keys)
+    return keyed.repartition(min(blocks * (blocks + 1), MOST_TASKS), *keys)
 
 
 def _dense(frame: pd.DataFrame, times: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:

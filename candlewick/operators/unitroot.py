@@ -112,8 +112,8 @@ def adf_table(bars: DataFrame, level: float = 0.1) -> DataFrame:
 
 
 def tiles(series: DataFrame) -> int:
-    """A test costs far more than a product, so blocks are an eighth of those of pair moments."""
-    return 8 * block_count(series)
+    """A test costs far more than a product, so blocks are a quarter of those of pair moments."""
+    return 4 * block_count(series)
 
 
 PAIR_OUT = ("asset_i string, asset_j string, n long, beta double, resid_stat double, resid_p double, "

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from candlewick.functions.guards import rounded
+from candlewick.functions.tables import stored
+from candlewick.functions.windows import over
 from candlewick.operators import pairs as pt
 from candlewick.operators import unitroot as ur
 from candlewick.plans.dependence import nations
@@ -23,12 +25,20 @@ def sample(spark, d, part):
 register("P1_split_sample", lambda spark, d: pt.split_sample(nations(spark, d)).select("symbol", "ts", "close", "sample"),
          ctes("SELECT symbol, ts, close, sample FROM sp", **P))
 register("P2_adf_test", lambda spark, d: rounded(ur.adf_table(sample(spark, d, "in"))))
-# the synthetic prices are stationary, so the unit-root filter of `candidate_tests` would leave no pair to test here
-register("P3_engle_granger_resid", lambda spark, d: rounded(ur.pair_tests(sample(spark, d, "in"), coint=False).select(
-    "asset_i", "asset_j", "n", "beta", "resid_stat", "resid_p")))
-register("P4_coint_test", lambda spark, d: rounded(ur.pair_tests(sample(spark, d, "in"), residual=False).select(
-    "asset_i", "asset_j", "n", "coint_stat", "coint_p")))
-register("P5_common_pairs", lambda spark, d: pt.common_pairs(ur.pair_tests(sample(spark, d, "in"))))
+
+
+def levels(spark, d):
+    """The in-sample panel with each price's distance from its mean added up: the given prices are stationary, and sums of such are not."""
+    bars = sample(spark, d, "in")
+    s = over(bars)
+    step = F.col("close") / F.avg("close").over(s.all) - 1
+    summed = bars.withColumn("_step", step)
+    return summed.withColumn("close", 100 + F.sum("_step").over(over(summed).running)).drop("_step")
+
+
+register("P3_engle_granger_resid", lambda spark, d: rounded(pt.candidate_tests(levels(spark, d)).select("asset_i", "asset_j", "n", "beta", "resid_stat", "resid_p")))
+register("P4_coint_test", lambda spark, d: rounded(pt.candidate_tests(levels(spark, d)).select("asset_i", "asset_j", "n", "coint_stat", "coint_p")))
+register("P5_common_pairs", lambda spark, d: pt.common_pairs(stored(pt.candidate_tests(levels(spark, d)), "pair-tests")))
 register("P6_rank_pairs", lambda spark, d: rounded(pt.rank_pairs(sample(spark, d, "in"))), ctes(
     f"SELECT a.symbol AS asset_i, b.symbol AS asset_j, {tidy('corr(a.close, b.close)')} AS corr FROM ins a JOIN ins b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY ALL", **P))
 

@@ -125,7 +125,7 @@ register("C11_dq_report", lambda spark, d: rounded(reports_of(spark, d).select(
 
 register("C12_dq_filter", lambda spark, d: q.keep_usable(dirty_bars(spark, d), reports_of(spark, d)).select(
     "symbol", "ts", "close", "volume"),
-    ctes("SELECT symbol, ts, close, volume FROM bars WHERE symbol IN (SELECT symbol FROM reports WHERE is_usable)", **REPORT))
+    ctes("SELECT symbol, ts, close, volume FROM bars JOIN (SELECT symbol FROM reports WHERE is_usable) USING (symbol)", **REPORT))
 
 register("C13_dq_summary", lambda spark, d: rounded(q.summary(reports_of(spark, d))), ctes(
     f"""SELECT count(*) AS total_symbols, count_if(is_usable) AS usable_symbols, {tidy('avg(is_usable::INT)')} AS usable_rate,
