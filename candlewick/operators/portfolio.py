@@ -79,8 +79,8 @@ def _solve(frame: pd.DataFrame, rate: float) -> pd.DataFrame:
 def closed_form(mu: DataFrame, cov: DataFrame, rate: float = 0.0, universe: str | None = None) -> DataFrame:
     """Minimum-variance and maximum-Sharpe weights per universe, with the frontier scalars a, b, c.
 
-    The matrix is built by Spark; one task solves one universe. A universe is an investable list (at most 18 assets after
-    tier limits), so its matrix is small by construction; many universes run in parallel.
+    The matrix is built by Spark; one task solves one universe, which is an investable list, so its matrix is small; many universes run in parallel.
+    universe: the column of cov that names it.
     """
     keyed = cov.withColumn("universe", F.lit("all")) if universe is None else cov.withColumnRenamed(universe, "universe")
     whole = keyed.join(mu.select(F.col("symbol").alias("asset_i"), F.col("mu").alias("mu_i")), "asset_i")

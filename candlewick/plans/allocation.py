@@ -11,6 +11,7 @@ from candlewick.operators import shrinkage as sk
 from candlewick.plans.dependence import NAT, nations
 from candlewick.plans.recommendations import WT, parts, weights_of
 from candlewick.plans.registry import register
+from candlewick.plans.riskmodels import universes
 from candlewick.plans.scoring import weekly
 from candlewick.plans.sqltext import SUPPLIER, ctes, lag, panel, rnd, tidy
 from candlewick.plans.tiers import I, tiers_of
@@ -52,12 +53,15 @@ register("L2_portfolio_stats", lambda spark, d: rounded(_stats(spark, d)), ctes(
 
 
 def _solved(spark, d):
+    """One universe a region and one of all nations, each solved by a task of its own."""
     _, mu, cov, _ = base(spark, d)
-    return pf.closed_form(mu, cov)
+    listed = universes(spark, d)
+    keyed = cov.join(listed.withColumnRenamed("symbol", "asset_i"), "asset_i").join(listed.withColumnRenamed("symbol", "asset_j"), ["universe", "asset_j"])
+    return pf.closed_form(mu, keyed, universe="universe")
 
 
-register("L3_min_variance_weights", lambda spark, d: rounded(_solved(spark, d).select("symbol", "min_variance")))
-register("L4_max_sharpe_weights", lambda spark, d: rounded(_solved(spark, d).select("symbol", "max_sharpe")))
+register("L3_min_variance_weights", lambda spark, d: rounded(_solved(spark, d).select("universe", "symbol", "min_variance")))
+register("L4_max_sharpe_weights", lambda spark, d: rounded(_solved(spark, d).select("universe", "symbol", "max_sharpe")))
 register("L5_efficient_frontier", lambda spark, d: rounded(pf.efficient_frontier(_solved(spark, d), 0.0, 100.0)))
 
 

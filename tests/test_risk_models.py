@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlewick.functions.asof import asof_join
-from candlewick.operators import constrained, garch, hierarchy, johansen, parity, riskbudget, shrinkage, stops, stress, views
+from candlewick.operators import constrained, garch, hierarchy, johansen, parity, portfolio, riskbudget, shrinkage, stops, stress, views
 
 START = dt.datetime(2024, 1, 1)
 
@@ -215,6 +215,26 @@ def test_views(spark):
     assert np.isclose(next(r.posterior for r in out if (r.universe, r.symbol) == ("a", "s01")), 0.3)
 
 
+def test_closed_form_over_several_universes(spark):
+    rng = np.random.default_rng(10)
+    covs = {f"u{k}": random_cov(rng, 2 + k) for k in range(6)}
+    mu = {f"s{k:02d}": float(m) for k, m in enumerate(rng.normal(0.1, 0.05, 7))}
+    cov = spark.createDataFrame([r for u, c in covs.items() for r in half(u, c)], COV)
+    out = portfolio.closed_form(spark.createDataFrame(list(mu.items()), "symbol string, mu double"), cov, rate=0.02, universe="universe")
+    rows = out.collect()
+    for u, c in covs.items():
+        mine = sorted((r for r in rows if r.universe == u), key=lambda r: r.symbol)
+        low, top = np.array([r.min_variance for r in mine]), np.array([r.max_sharpe for r in mine])
+        m = np.array([mu[r.symbol] for r in mine])
+        assert len(mine) == len(c) and np.isclose(low.sum(), 1) and np.isclose(top.sum(), 1)
+        # at the least variance all assets add the same to it; at the best ratio in proportion to their excess return
+        assert np.ptp(c @ low) < 1e-9 and np.allclose(np.cross([*(c @ top)[:2], 0], [*(m - 0.02)[:2], 0]), 0, atol=1e-9)
+        assert all(low @ c @ low <= w @ c @ w + 1e-12 for w in rng.dirichlet(np.ones(len(c)), 50))
+    points = portfolio.efficient_frontier(out, 0.0, 0.3, 10).collect()
+    least = {r.universe: 1 / np.sqrt(r.a) for r in rows}
+    assert len(points) == 6 * 11 and all(p.risk >= least[p.universe] - 1e-12 for p in points)
+
+
 def test_equal_risk_over_many_universes(spark):
     rng = np.random.default_rng(5)
     covs = {f"u{k}": random_cov(rng, 1 + k % 9) for k in range(24)}
