@@ -42,7 +42,7 @@ def line_twin(rows, min_chars=20, min_docs=3):
     return sorted(out)
 
 
-@pytest.mark.parametrize("share", [lines.SHARE, 2])
+@pytest.mark.parametrize("share", [2])
 def test_lines(clashing, monkeypatch, share):
     monkeypatch.setattr(lines, "SHARE", share)
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in lines.without_repeated_lines(clashing).collect())
