@@ -93,3 +93,31 @@ def test_floored_positions_match_a_loop(spark):
         sign = 1 if side == "buy" else -1
         q, v = max(0.0, q + sign * value / price), max(0.0, v + sign * value)
     assert math.isclose(got["quantity"], q, abs_tol=1e-9) and math.isclose(got["value"], v, abs_tol=1e-9) and got["fills"] == 200
+
+
+def test_pairs_are_whole_in_their_task(spark):
+    """Several tiles, blocks and stretches: one row a pair without a shuffle of pairs, the sums of assets agree with them."""
+    from candlewick.functions.blocks import mean_abs_corr, pair_corrs
+    rng = np.random.default_rng(1)
+    data = {f"S{i:03d}": [None if rng.random() < 0.2 else float(v) for v in rng.normal(size=40)] for i in range(300)}
+    data |= {"FLAT": [3.0] * 40, "SHORT": [1.0, 2.0] + [None] * 38, "NONE": [None] * 40}
+    df = bars(spark, data).select("symbol", "ts", "close")
+    pairs = pair_corrs(df, "close", blocks=1)
+    assert "Aggregate" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = pairs.toPandas()
+    want = pd.DataFrame(data).astype(float).drop(columns="NONE")
+    corr = want.corr(min_periods=1)
+    assert (got["asset_i"] < got["asset_j"]).all() and not got.duplicated(["asset_i", "asset_j"]).any()
+    seen = want.notna().astype(int)
+    both = seen.T @ seen
+    assert len(got) == (np.triu(both.to_numpy(), 1) > 0).sum()
+    for r in got.itertuples():
+        c = corr.loc[r.asset_i, r.asset_j]
+        assert r.n == both.loc[r.asset_i, r.asset_j]
+        if r.n > 2:
+            assert (math.isnan(c) and math.isnan(r.corr)) or r.corr == pytest.approx(c, abs=1e-9)
+    for blocks in (1, 3):
+        means = {r["symbol"]: r["mean_abs_corr"] for r in mean_abs_corr(df, "close", 20, blocks).collect()}
+        assert set(means) == set(data) and means["FLAT"] is means["SHORT"] is means["NONE"] is None
+        strong = corr.where(both >= 20).loc["S007"].drop("S007").abs().mean()
+        assert means["S007"] == pytest.approx(strong, abs=1e-9)
