@@ -121,3 +121,28 @@ def test_pairs_are_whole_in_their_task(spark):
         assert set(means) == set(data) and means["FLAT"] is means["SHORT"] is means["NONE"] is None
         strong = corr.where(both >= 20).loc["S007"].drop("S007").abs().mean()
         assert means["S007"] == pytest.approx(strong, abs=1e-9)
+
+
+def test_rolling_figures_of_series(spark):
+    """Equal values have no deviation at all, a null leaves its windows without a figure, and the plan holds no moving frames."""
+    from candlewick.operators.returns import rolling_moments, rolling_sharpe
+    prices = walk(30, 5)
+    prices[12] = None
+    df = bars(spark, {"A": walk(90, 4), "B": prices, "C": [2.0 ** i for i in range(20)], "D": [7.0]})
+    for op, cols in ((lambda b: rolling_volatility(b, (5,)), ["volatility_5"]), (lambda b: rolling_sharpe(b, (5,)), ["sharpe_5"]),
+                     (lambda b: rolling_moments(b, 5), ["skew_5", "kurt_5"])):
+        made = op(df)
+        assert "specifiedwindowframe(RowFrame, -4" not in made._jdf.queryExecution().executedPlan().toString()
+        for name in "ABCD":
+            x = np.log(pd.Series(column(df, "close", name), dtype=float)).diff()
+            x[x.isna()] = np.nan
+            r = x.rolling(5)
+            want = {"volatility_5": r.std() * 252 ** 0.5, "sharpe_5": (r.mean() * 252 - 0.02) / (r.std() * 252 ** 0.5), "skew_5": r.skew(), "kurt_5": r.kurt()}
+            for c in cols:
+                got = column(made, c, name)
+                if name == "C":  # growth is the same at every bar
+                    assert all(v is None or (c == "volatility_5" and v == 0.0) for v in got)
+                    continue
+                assert len(got) == len(x)
+                for g, w in zip(got, want[c]):
+                    assert (g is None and math.isnan(w)) or g == pytest.approx(w, abs=1e-7)
