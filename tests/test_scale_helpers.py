@@ -146,3 +146,18 @@ def test_rolling_figures_of_series(spark):
                 assert len(got) == len(x)
                 for g, w in zip(got, want[c]):
                     assert (g is None and math.isnan(w)) or g == pytest.approx(w, abs=1e-7)
+
+
+def test_decayed_means_take_one_sort(spark):
+    from candlewick.functions.decay import alpha_of, ewm_means
+    prices = [None, None, *walk(1500, 9)]
+    prices[700] = None
+    df = bars(spark, {"A": prices, "B": walk(3, 2)})
+    made = ewm_means(df, {"fast": ("close", alpha_of(span=9)), "slow": ("close", alpha_of(span=50))})
+    assert made._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    for name, span in (("fast", 9), ("slow", 50)):
+        for symbol in "AB":
+            x = pd.Series(column(df, "close", symbol), dtype=float)
+            want = x.ewm(span=span, ignore_na=True).mean().where(x.notna())
+            got = column(made, name, symbol)
+            assert all((g is None and math.isnan(w)) or g == pytest.approx(w, rel=1e-12) for g, w in zip(got, want)) and len(got) == len(want)
