@@ -4,6 +4,7 @@ import datetime as dt
 
 from candlewick.operators import cleaning as cl
 from candlewick.operators import scoring as sc
+from candlewick.operators import signals as sg
 from toys import bars, walk
 
 
@@ -41,3 +42,12 @@ def test_scores_read_bars_once(spark):
     for r in rows:
         assert all(abs(r[n] - whole[r["symbol"]][n]) < 1e-9 for n in sc.LOCAL)
         assert abs(r["market_cycle"] - cycle[r["symbol"]]) < 1e-9 and abs(r["correlation_dynamics"] - apart[r["symbol"]]) < 1e-9
+
+
+def test_signal_features_read_bars_once(spark):
+    out = sg.features(some(spark), "A", 15)
+    assert "LogicalRDD" not in plan(out)
+    closes = walk(200, 1)
+    row = out.filter("symbol = 'B'").first()
+    up = [closes[k] > closes[k - 1] for k in range(200)][-63:]
+    assert row["n"] == 200 and abs(row["up63"] - sum(up) / 63) < 1e-12 and abs(row["sma"] - sum(closes[-20:]) / 20) < 1e-9
