@@ -5,6 +5,7 @@ import datetime as dt
 from candlewick.operators import cleaning as cl
 from candlewick.operators import scoring as sc
 from candlewick.operators import signals as sg
+from candlewick.operators import tiers as tr
 from toys import bars, walk
 
 
@@ -51,3 +52,17 @@ def test_signal_features_read_bars_once(spark):
     row = out.filter("symbol = 'B'").first()
     up = [closes[k] > closes[k - 1] for k in range(200)][-63:]
     assert row["n"] == 200 and abs(row["up63"] - sum(up) / 63) < 1e-12 and abs(row["sma"] - sum(closes[-20:]) / 20) < 1e-9
+
+
+def test_tier_limits_keep_what_they_read_twice(spark):
+    caps = spark.createDataFrame([("A", 60e6, 2e5), ("B", 60e6, 3e5)], "symbol string, market_cap_usd double, daily_volume_brl double")
+    assert "InMemoryRelation" in plan(tr.apply_limits(tr.classify(tr.asset_metrics(some(spark), caps))))
+
+
+def test_newest_volume_is_no_frame_at_every_row(spark):
+    df = bars(spark, {"A": walk(40), "B": walk(20)}, {"A": range(1, 41), "B": range(1, 21)})
+    stats = tr._tail_stats(df)
+    assert "BETWEEN -29" not in plan(stats).upper() and "specifiedwindowframe(RowFrame, -29".upper() not in plan(stats).upper()
+    got = {r["symbol"]: r["l"] for r in stats.collect()}
+    assert got["A"]["_v30"] == sum(range(11, 41)) / 30 and abs(got["A"]["_s30"] - 77.5 ** 0.5) < 1e-9
+    assert got["B"]["_v30"] is None and got["B"]["close"] == walk(20)[-1]
