@@ -3,6 +3,7 @@
 import datetime as dt
 
 from candlewick.operators import cleaning as cl
+from candlewick.operators import learning as ml
 from candlewick.operators import scoring as sc
 from candlewick.operators import signals as sg
 from candlewick.operators import tiers as tr
@@ -66,3 +67,28 @@ def test_newest_volume_is_no_frame_at_every_row(spark):
     got = {r["symbol"]: r["l"] for r in stats.collect()}
     assert got["A"]["_v30"] == sum(range(11, 41)) / 30 and abs(got["A"]["_s30"] - 77.5 ** 0.5) < 1e-9
     assert got["B"]["_v30"] is None and got["B"]["close"] == walk(20)[-1]
+
+
+def test_labels_need_no_join(spark):
+    """Against pairs of turns by hand, an open trade at the end included."""
+    closes = walk(120, 5)
+    out = ml.label_winning_trades(bars(spark, {"A": closes}))
+    assert "Join" not in plan(out)
+    rows = out.orderBy("ts").collect()
+    want, entry = ["stop"] * len(rows), None
+    for k, r in enumerate(rows):
+        if r["turn"] == 1:
+            entry = k
+        elif r["turn"] == -1:
+            if closes[k] >= closes[entry]:
+                want[entry:k] = ["buy"] * (k - entry)
+            entry = None
+    assert "buy" in want and [r["label"] for r in rows] == want
+
+
+def test_fits_read_a_stored_split(spark):
+    split = ml.time_split(ml.feature_frame(ml.label_winning_trades(some(spark))))
+    for how in ({"model": "tree"}, {"model": "forest", "trees": 3}):
+        out = ml.classify(split, **how)
+        assert "LogicalRDD" not in plan(out) and out.count() == split.filter("part = 'test'").count()
+    assert "InMemoryRelation" in plan(ml.classification_metrics(out))
