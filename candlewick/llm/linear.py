@@ -15,6 +15,8 @@ from candlewick.llm.words import MARKS, Words, mix, runs
 
 #: Features are numbered below this; number 0 is the constant.
 SPACE = 1 << 20
+#: Bytes of text whose features are made at once; they take some fifty times as much memory for a while.
+AT_ONCE = 1 << 18
 CLASSES = np.zeros((4, 256), np.int32)  # capital, digit, mark, symbol
 CLASSES[0, 0x41:0x5B] = CLASSES[1, 0x30:0x3A] = 1
 CLASSES[2] = MARKS
@@ -132,7 +134,7 @@ def gathered(sample: DataFrame, how: Settings) -> tuple[list[np.ndarray], np.nda
     """Features and target of each row of a bounded sample, by id."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", AT_ONCE):
             owner, at = how.features(batch.column(1))
             ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
@@ -158,7 +160,7 @@ def scored(docs: DataFrame, weights: np.ndarray, how: Settings = Settings(), tex
     at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, AT_ONCE):
             found = scores(batch.column(at), sent.value, how)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
 

@@ -97,7 +97,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int
     judges = voters(mined(sample))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", linear.AT_ONCE):
             cast = votes(batch.column(1).to_pylist(), judges)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(cast), pa.list_(pa.int8()))], ["doc_id", "target", "votes"])
 
