@@ -92,3 +92,16 @@ def test_fits_read_a_stored_split(spark):
         out = ml.classify(split, **how)
         assert "LogicalRDD" not in plan(out) and out.count() == split.filter("part = 'test'").count()
     assert "InMemoryRelation" in plan(ml.classification_metrics(out))
+
+
+def test_recent_covariance_makes_listed_bars_only(spark, sf, monkeypatch):
+    """The listed symbols are picked below the first aggregate, so before any shuffle of ticks."""
+    from candlewick.plans import allocation
+
+    got = []
+    monkeypatch.setattr(allocation, "weights_of", lambda s, d: s.createDataFrame([("1", 0.5), ("2", 0.5)], "symbol string, weight double"))
+    monkeypatch.setattr(allocation.pf, "recent_covariance", lambda b, listed: got.append(b) or listed.selectExpr("1.0 AS cov"))
+    allocation._recent(spark, sf)
+    text = plan(got[0])
+    assert "LeftSemi" in text and text.index("LeftSemi") > text.rindex("Aggregate")
+    assert {r["symbol"] for r in got[0].select("symbol").distinct().collect()} == {"1", "2"}
