@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.shared import stored
+from candlewick.llm.shared import few_files, stored
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -34,11 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is written to the shared storage; rounds grow with the logarithm of the longest chain. Only a count and a
     checksum of the edges come to the driver. Null ends are left out; no edges give no rows.
     """
-    now = stored(_oriented(edges.select("a", "b").dropna()), "edges")
+    now = stored(few_files(_oriented(edges.select("a", "b").dropna())), "edges")
     sign = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     seen = sign(now)
     while seen[0]:
-        now = stored(_small_star(_large_star(now)), "edges")
+        now = stored(few_files(_small_star(_large_star(now))), "edges")
         before, seen = seen, sign(now)
         if seen == before:
             break

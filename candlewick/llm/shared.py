@@ -34,6 +34,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """Rows that an aggregate has just dealt evenly, one a key, in fewer partitions: some for each core, or an eighth of the session's.
+
+    Each file that a task writes to a local folder starts processes, and a process that just starts counts the executor's memory twice.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
+def in_small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Texts go to Python so many at a time, or fewer if the session says so: both ends hold whole batches, and 10000 texts are tens of MB a task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:  # none or less is no bound
+        spark.conf.set(name, str(rows))
+
+
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Tables that `stored` writes inside are removed at the end; what is still read later must be stored outside."""

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh128_digest
 
 from candlewick.llm.components import components
-from candlewick.llm.shared import kept, narrow, passing, slices, stored, utf8
+from candlewick.llm.shared import few_files, kept, narrow, passing, slices, stored, utf8
 from candlewick.llm.simhash import SEED, links, majority, shingle_digests
 
 POSITIONS = 128
@@ -122,7 +122,7 @@ def alike(one: bytes, other: bytes, similarity: float) -> bool:
 
 def decided(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """The pairs (a, b), each once, whose shingle sets are alike. sets_of: from (node) to (node, shingles); a pair without sets is none."""
-    pairs = stored(pairs.distinct(), "minima-candidates")
+    pairs = stored(few_files(pairs.distinct()), "minima-candidates")
     ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
     needed = stored(sets_of(ends), "minima-sets")
     side = lambda name: needed.select(F.col("node").alias(name), F.col("shingles").alias(f"shingles_{name}"))
@@ -182,7 +182,7 @@ def _crossing_sets(open_: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     """
     sets = sets_of(open_.select("node")).join(open_, "node")
     tokens = stored(_tokens(sets), "minima-tokens")
-    common = stored(tokens.groupBy("token").agg(F.count("*").alias("n"), (F.min("group") != F.max("group")).alias("mixed")), "minima-common")
+    common = stored(few_files(tokens.groupBy("token").agg(F.count("*").alias("n"), (F.min("group") != F.max("group")).alias("mixed"))), "minima-common")
     total = common.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > total // SHARE
     salts = common.filter(hot).select("token", F.lit(SALTS).alias("salts"))
@@ -227,14 +227,14 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8, together: int = 16,
     counts = placed.groupBy("key", "group").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
     open_ = placed.join(mixed, "key").groupBy("node").agg(F.first("group").alias("group"), F.max(F.col("group") != F.col("main")).alias("outside"))
-    open_ = stored(open_, "minima-open")
+    open_ = stored(few_files(open_), "minima-open")
     return near.union(close(_crossing(open_, nodes, apart)) if sets_of is None else decided(_crossing_sets(open_, sets_of, similarity), sets_of, similarity))
 
 
 def _dropped(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(doc_id) of the rows that go. docs: (doc_id, text), no null ids."""
     prints = stored(sketches(docs, width), "sketches")
-    nodes = stored(prints.groupBy("fp", "key").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = stored(few_files(prints.groupBy("fp", "key").agg(F.min("doc_id").alias("node"))), "nodes")
     first = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     equal = nodes.join(first, "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     rep = lambda name: first.select(F.col("fp").alias(name), F.col("rep").alias(f"rep_{name}"))

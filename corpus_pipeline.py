@@ -6,12 +6,29 @@ All but the last return the columns of documents. Clean documents stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm import decontaminate, packing, secrets, similar, toxicity
 from candlewick.llm.queries import vocabulary
-from candlewick.llm.shared import stored, table
+from candlewick.llm.shared import in_small_batches, stored, table
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def batched(stage: Stage) -> Stage:
+    """The stage in a session whose tasks send texts to Python in small batches."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        in_small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +58,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, vocabulary(), with_ids=True)
 
 
-STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_duplicates), ("benchmark_decontamination", drop_benchmark),
-          ("secret_scans", mask_secrets), ("best_fit_packing", pack)]
+STAGES = [(name, batched(stage)) for name, stage in (
+    ("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_duplicates), ("benchmark_decontamination", drop_benchmark),
+    ("secret_scans", mask_secrets), ("best_fit_packing", pack))]
 
 #: Classifier, components and tokens are beyond SQL; stages are tested against brute force.
 ORACLE_SQL = None
