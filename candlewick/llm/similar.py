@@ -10,7 +10,9 @@ themselves, which are made again from the texts of candidates alone: tables and
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from math import comb
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -155,6 +157,8 @@ def _crossing(open_: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
 
 #: A token with more than one in so many of all tokens is hot, so there are fewer hot tokens than this; its rows are dealt to so many groups.
 SHARE, SALTS = 256, 32
+#: Words of 64 bits in a set's parities.
+PARITIES = 16
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
@@ -173,12 +177,22 @@ def _tokens(sets: DataFrame) -> DataFrame:
     return sets.select("node", "group", "outside", "shingles").mapInArrow(work, f"node {kind}, group {kind}, outside boolean, size int, token long")
 
 
+def _parities(tokens: DataFrame) -> DataFrame:
+    """(node, parity_0, ...): of each of 1024 parts of all hashes, whether an odd number of the node's tokens is in it.
+
+    A part in which two sets differ holds a token that only one of them has, so they differ in no more parts than tokens.
+    """
+    bit = "shiftleft(1L, cast(token & 63 as int))"
+    return tokens.groupBy("node").agg(*[F.expr(f"bit_xor(if((shiftrightunsigned(token, 6) % {PARITIES}) = {k}, {bit}, 0L))").alias(f"parity_{k}") for k in range(PARITIES)])
+
+
 def _crossing_sets(open_: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(a, b) of different groups, the pairs that may be alike, by the sets themselves. open_: (node, group, outside), each node once.
 
     Two sets with that share of their union in common have one token in common among the rarest of each, all but that share and one more, by one order
     of all tokens, and after the first one enough others are left. What a passage that many texts share brings is common and comes last, so
-    such texts meet only where little else is in them.
+    such texts meet only where little else is in them. Their parities differ in no more parts than tokens may, so that of a crowd of texts
+    that share much but not enough few pairs are made.
     """
     sets = sets_of(open_.select("node")).join(open_, "node")
     tokens = stored(_tokens(sets), "minima-tokens")
@@ -191,12 +205,15 @@ def _crossing_sets(open_: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     rare = Window.partitionBy("node").orderBy("n", "token")
     least = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
     held = stored(dealt.join(copies, ["token", "salt"]).withColumn("at", F.row_number().over(rare)).filter(F.col("at") <= least).filter("mixed")
-                  .select("node", "group", "outside", "size", "token", "at"), "minima-rarest")
-    one = held.filter("outside").select("token", F.col("node").alias("x"), F.col("group").alias("other"), F.col("size").alias("size_x"), F.col("at").alias("at_x"))
+                  .select("node", "group", "outside", "size", "token", "at").join(_parities(tokens), "node"), "minima-rarest")
+    one = held.filter("outside").select("token", F.col("node").alias("x"), F.col("group").alias("other"), F.col("size").alias("size_x"), F.col("at").alias("at_x"),
+                                        *[F.col(f"parity_{k}").alias(f"parity_x_{k}") for k in range(PARITIES)])
     # of the first token in common, only those that come after it can be in common too, and they must be enough
     most = 1 + F.least(F.col("size") - F.col("at"), F.col("size_x") - F.col("at_x"))
     fits = most >= similarity / (1 + similarity) * (F.col("size") + F.col("size_x")) - 1e-9
-    pairs = held.join(one, "token").filter("group <> other and (node > x or not outside)").filter(fits)
+    apart = reduce(add, [F.bit_count(F.col(f"parity_{k}").bitwiseXOR(F.col(f"parity_x_{k}"))) for k in range(PARITIES)])
+    near = apart <= (1 - similarity) / (1 + similarity) * (F.col("size") + F.col("size_x")) + 1e-6
+    pairs = held.join(one, "token").filter("group <> other and (node > x or not outside)").filter(fits & near)
     return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
 
 

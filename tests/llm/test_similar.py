@@ -93,3 +93,20 @@ def test_pairs_near_the_threshold(spark):
         want += [10 * pair] if near else [10 * pair, 10 * pair + 1]
     got = [r.doc_id for r in similar.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got) == want
+
+
+def test_a_crowd_that_shares_much_makes_few_pairs(spark):
+    """80 sets at similarities near 0.7 share their rarest common tokens, 12 others are alike: no link is lost, the crowd isn't squared."""
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 1 << 63, 146, np.uint64)
+    sets = {}
+    for k in range(92):
+        own = base.copy()
+        at = rng.choice(146, 14 if k < 80 else 6, replace=False)
+        own[at] = rng.integers(0, 1 << 63, len(at), np.uint64)
+        sets[k] = np.unique(own).astype("<u8").tobytes()
+    want = {(a, b) for a in sets for b in range(a) if similar.alike(sets[a], sets[b], LEAST)}
+    table = spark.createDataFrame([(k, bytearray(x)) for k, x in sets.items()], "node long, shingles binary")
+    open_ = spark.createDataFrame([(k, k, True) for k in sets], "node long, group long, outside boolean")
+    got = {tuple(r) for r in similar._crossing_sets(open_, lambda nodes: table.join(nodes, "node"), LEAST).collect()}
+    assert len(want) >= 12 and want <= got and len(got) < 4 * len(want)
