@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.shared import few_files, stored
+from candlewick.llm.shared import few_files, released, stored
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -28,18 +28,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
                      .union(least.select("a", F.col("m").alias("b"))))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has either one smaller neighbour or larger ones alone, so that every component hangs on its smallest node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    other = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1")
+    return other.agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node on an edge; root is the smallest node reachable. edges: (a, b), any order, repeats allowed.
 
-    Each round is written to the shared storage; rounds grow with the logarithm of the longest chain. Only a count and a
-    checksum of the edges come to the driver. Null ends are left out; no edges give no rows.
+    Each round is written to the shared storage; rounds grow with the logarithm of the longest chain and end with stars. Only a count
+    comes to the driver. Null ends are left out; no edges give no rows.
     """
     now = stored(few_files(_oriented(edges.select("a", "b").dropna())), "edges")
-    sign = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-    seen = sign(now)
-    while seen[0]:
+    while not _stars(now):
         now = stored(few_files(_small_star(_large_star(now))), "edges")
-        before, seen = seen, sign(now)
-        if seen == before:
-            break
+        released(now.sparkSession)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", F.col("b").alias("root")).distinct())

@@ -34,6 +34,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Shuffles and broadcasts that no table needs any more go now, and with them the driver's memory; else they stay until its heap is full."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def few_files(df: DataFrame) -> DataFrame:
     """Rows that an aggregate has just dealt evenly, one a key, in fewer partitions: some for each core, or an eighth of the session's.
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh128_digest
 
 from candlewick.llm.components import components
-from candlewick.llm.shared import few_files, kept, narrow, passing, slices, stored, utf8
+from candlewick.llm.shared import few_files, kept, narrow, passing, released, slices, stored, utf8
 from candlewick.llm.simhash import SEED, links, majority, shingle_digests
 
 POSITIONS = 128
@@ -239,12 +239,14 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8, together: int = 16,
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a > b").select("a", "b")
     pivots = many.filter("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
     near = stored(close(pairs.union(pivots).distinct()), "minima-links")
+    released(nodes.sparkSession)
     groups = components(near).withColumnRenamed("root", "group")
     placed = stored(many.join(groups, "node", "left").select("key", "node", F.coalesce("group", "node").alias("group")), "minima-placed")
     counts = placed.groupBy("key", "group").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
     open_ = placed.join(mixed, "key").groupBy("node").agg(F.first("group").alias("group"), F.max(F.col("group") != F.col("main")).alias("outside"))
     open_ = stored(few_files(open_), "minima-open")
+    released(nodes.sparkSession)
     return near.union(close(_crossing(open_, nodes, apart)) if sets_of is None else decided(_crossing_sets(open_, sets_of, similarity), sets_of, similarity))
 
 

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from candlewick.llm import components as cc
+from candlewick.llm import shared
 from candlewick.llm.shared import in_small_batches, table
 
 BATCH, PARTITIONS, MERGED = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
@@ -35,3 +36,18 @@ def test_edges_come_in_few_files(spark):
         spark.conf.set(PARTITIONS, before)
         spark.conf.set(MERGED, merged)
     assert rows == {(k, (k - 1) // 5 * 5 + 1) for k in range(1, 2001)}
+
+
+def test_components_end_with_stars(spark, monkeypatch):
+    """Stars are written once and no round is run to see that nothing changes; a chain, a ring and two stars that meet are right."""
+    written = []
+    monkeypatch.setattr(cc, "stored", lambda df, label: written.append(label) or shared.stored(df, label))
+    stars = [(k, k % 3) for k in range(3, 30)]
+    found = cc.components(spark.createDataFrame(stars, "a long, b long"))
+    assert {r.node: r.root for r in found.collect()} == {k: k % 3 for k in range(30)} and written == ["edges"]
+    chain, ring = [(k, k + 1) for k in range(100, 140)], [(200 + k, 200 + (k + 1) % 9) for k in range(9)]
+    meeting = [(301, 300), (302, 300), (304, 303), (302, 303), (None, 300), (305, 305)]
+    found = cc.components(spark.createDataFrame(chain + ring + meeting, "a long, b long"))
+    want = {k: 100 for k in range(100, 141)} | {k: 200 for k in range(200, 209)} | {k: 300 for k in range(300, 305)}
+    assert {r.node: r.root for r in found.collect()} == want
+    assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
