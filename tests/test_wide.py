@@ -76,6 +76,9 @@ def test_segments_and_other_columns(spark):
     op = lambda x: ind.all_indicators(x, ("sma_200", "bb_squeeze"))
     cut, whole = sg.in_segments(b, op, 220, 400), op(b)
     assert whole.columns == [*b.columns, "sma_200", "bb_squeeze"] and dict(whole.dtypes)["close"] == "decimal(20,8)"
+    bare = ind.all_indicators(b, ("sma_200", "bb_squeeze"), keep=("symbol", "ts"))
+    assert bare.columns == ["symbol", "ts", "sma_200", "bb_squeeze"]
+    assert sorted(map(str, bare.collect())) == sorted(map(str, whole.select(bare.columns).collect()))
     a, b = (x.select("symbol", "ts", "sma_200", "bb_squeeze").toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True) for x in (cut, whole))
     pd.testing.assert_frame_equal(a, b)
 
